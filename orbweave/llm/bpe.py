@@ -2,9 +2,9 @@
 
 Documents are dealt to blocks of about ``block_bytes`` of text (compressed for the shuffle). Each block
 splits its words and sends every distinct word once, sorted and compressed, to the range of the word
-table that owns it; the owner encodes each distinct word once, joins the ids to their pieces (the
-vocabulary, a bounded table) for the decoded form, and answers in the same order. The block then joins
-the answers back by word position. A frequent word is one entry per block, never one row per use.
+table that owns it; the owner encodes each distinct word once and answers with the ids in the same order. The block joins the
+answers back by word position and the ids to their pieces (the vocabulary, a bounded table) for the
+decoded form. A frequent word is one entry per block, never one row per use.
 
 Decoding joins the pieces of all ids by a space, as the library does for a file without a decoder.
 Defined cases: null text is the empty text (no tokens); null ids and repeated rows are kept; an empty
@@ -13,18 +13,21 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import json
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm import textio
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 8 << 20
 MAX_RANGES = 4096
 #: Distinct words an owner keeps encoded at a time.
@@ -34,9 +37,9 @@ CODED = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def make_splitter(path: str):
     """Words of a text exactly as the tokenizer of the file sees them; special tokens come as words of their own."""
-    made, find = textio.load(path), textio.regex.compile(textio.WORD_PATTERN).findall
+    made, find = textio.load(path), textio.WORD_PATTERN.findall
     special = textio.special_tokens(made)
-    cut = textio.regex.compile("(" + "|".join(map(textio.regex.escape, special)) + ")") if special else None
+    cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def plain(text: str) -> list[str]:
         if textio.SAFE.fullmatch(text):
@@ -52,25 +55,54 @@ def make_splitter(path: str):
     return split
 
 
-def encode_words(path: str, words: list[str]) -> list[tuple[str, str]]:
-    """Per word: its ids in decimal and its decoded form, both joined by spaces."""
+def encode_words(path: str, words: list[str]) -> list[bytes]:
+    """Per word: its ids as little-endian 32-bit numbers."""
     made = textio.load(path)
-    return [
-        (" ".join(map(str, got.ids)), " ".join(made.id_to_token(i) for i in got.ids))
-        for got in made.encode_batch(words, add_special_tokens=False)
-    ]
+    return [array("I", got.ids).tobytes() for got in made.encode_batch(words, add_special_tokens=False)]
 
 
-def _owner(word: str, ranges: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % ranges
+@functools.lru_cache(maxsize=4)
+def pieces(path: str) -> tuple[list[str], list[str]]:
+    """Piece of each id, the bounded table that decoding joins with, and the ids in decimal."""
+    made = textio.load(path)
+    top = max(made.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+    return [made.id_to_token(i) or "" for i in range(top)], [str(i) for i in range(top)]
+
+
+def owned_words(texts: Iterable[list[str]], ranges: int) -> dict[int, list[str]]:
+    """Distinct words of a block's split texts by owner, in the order in which they are sent and answered."""
+    found: set[str] = set()
+    for words in texts:
+        found.update(words)
+    owned: dict[int, list[str]] = {}
+    for word in sorted(found):
+        owned.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % ranges, []).append(word)
+    return owned
+
+
+def _zip(text: str) -> bytes:
+    return zlib.compress(text.encode("utf-8", "surrogatepass"), 3)
 
 
-def _zip(rows: list) -> bytes:
-    return zlib.compress(json.dumps(rows, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 1)
+def _unzip(data: bytes) -> str:
+    return zlib.decompress(data).decode("utf-8", "surrogatepass")
 
 
-def _unzip(data: bytes) -> list:
-    return json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))
+def pack_ids(coded: list[bytes]) -> bytes:
+    """Ids of a list of words: how many each has, then the low and the high halves of all."""
+    ids = np.frombuffer(b"".join(coded), dtype="<u4")
+    sizes = np.array([len(c) // 4 for c in coded], dtype="<u4")
+    halves = ids.astype("<u2").tobytes(), (ids >> 16).astype("<u2").tobytes()
+    return zlib.compress(b"".join([np.array([len(sizes)], dtype="<u4").tobytes(), sizes.tobytes(), *halves]), 3)
+
+
+def unpack_ids(data: bytes) -> list[list[int]]:
+    raw = zlib.decompress(data)
+    n = int(np.frombuffer(raw, dtype="<u4", count=1)[0])
+    sizes = np.frombuffer(raw, dtype="<u4", count=n, offset=4)
+    low, high = np.frombuffer(raw, dtype="<u2", offset=4 + 4 * n).reshape(2, -1)
+    ids, ends = (low.astype(np.int64) | high.astype(np.int64) << 16).tolist(), np.cumsum(sizes).tolist()
+    return [ids[b - k : b] for b, k in zip(ends, sizes.tolist(), strict=True)]
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -82,47 +114,47 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(text=[zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in b["text"]])
+            yield b.assign(text=[_zip(t) for t in b["text"]])
 
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text").mapInPandas(
         squeeze, "block long, doc_id string, text binary"
     )
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        split, found = make_splitter(path), set()
-        for z in pdf["text"]:
-            found.update(split(zlib.decompress(z).decode("utf-8", "surrogatepass")))
-        owned: dict[int, list[str]] = {}
-        for word in sorted(found):
-            owned.setdefault(_owner(word, ranges), []).append(word)
-        out = [(pdf["block"].iloc[0], r, _zip(words)) for r, words in owned.items()]
+        split = make_splitter(path)
+        owned = owned_words((split(_unzip(z)) for z in pdf["text"]), ranges)
+        out = [(pdf["block"].iloc[0], r, _zip("\n".join(words))) for r, words in owned.items()]
         return pd.DataFrame(out, columns=["block", "owner", "words"])
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table: dict[str, tuple[str, str]] = {}
+        table: dict[str, bytes] = {}
         for b in batches:
             done = []
-            for z in b["words"]:
-                words = _unzip(z)
+            for z in b.pop("words"):
+                words = _unzip(z).split("\n")
                 if len(table) > TABLE_WORDS:
                     table.clear()
                 new = [w for w in words if w not in table]
                 table.update(zip(new, encode_words(path, new), strict=True))
-                done.append(_zip([[w, *table[w]] for w in words]))
-            yield b.drop(columns=["owner"]).assign(words=done)
+                done.append(pack_ids([table[w] for w in words]))
+            yield b.assign(ids=done)
 
     def finish(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        split = make_splitter(path)
-        table = {w: (ids, pieces) for z in answers["words"] for w, ids, pieces in _unzip(z)}
+        split, piece, decimal, table = make_splitter(path), *pieces(path), {}
+        words = [split(_unzip(z)) for z in texts["text"]]
+        owned = owned_words(words, ranges)
+        for owner, coded in zip(answers["owner"], answers["ids"], strict=True):
+            for word, ids in zip(owned[owner], unpack_ids(coded), strict=True):
+                table[word] = (" ".join([decimal[i] for i in ids]), " ".join([piece[i] for i in ids])) if ids else None
         out = []
-        for doc_id, z in zip(texts["doc_id"], texts["text"], strict=True):
-            got = [table[w] for w in split(zlib.decompress(z).decode("utf-8", "surrogatepass"))]
-            ids, pieces = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
-            out.append((doc_id, ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(pieces.encode()).hexdigest()))
+        for doc_id, own in zip(texts["doc_id"], words, strict=True):
+            got = [x for x in map(table.__getitem__, own) if x]
+            ids, decoded = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+            out.append((doc_id, ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     asked = dealt.groupBy("block").applyInPandas(ask, "block long, owner int, words binary")
-    answered = asked.repartition("owner").sortWithinPartitions("owner", "block").mapInPandas(answer, "block long, words binary")
+    answered = asked.repartition("owner").sortWithinPartitions("owner", "block").mapInPandas(answer, "block long, owner int, ids binary")
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(finish, CODED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -95,7 +95,7 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
 
 
 def _pieces(batches: Iterator[pd.DataFrame], path: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
-    made, split = textio.load(path), textio.regex.compile(textio.BYTE_PATTERN).findall
+    made, split = textio.load(path), textio.BYTE_PATTERN.findall
     special, end = textio.special_tokens(made), np.uint32(end_id).tobytes()
     table: dict[str, bytes] = {}
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import functools
+import re
 
-import regex
 from tokenizers import Tokenizer
 
-#: Texts of these characters alone are split by our own pattern; others go through the library as a whole.
-SAFE = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ɏ‐-‧‰-‾]*")
-#: The patterns by which the two public vocabularies split text before their merges.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts of these characters alone are split by our own pattern; others go through the library as a whole. In this
+#: set the letters are the word characters that are neither digits nor the underscore, and the numbers are 0 to 9.
+SAFE = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203e]*")
+#: How the two public vocabularies split safe texts before their merges.
+BYTE_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+WORD_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 def tokenizer_path(name: str) -> str:
