@@ -26,8 +26,6 @@ from orbweave.storage import materialize
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries of a worker's table of encoded words, before it starts anew.
-CACHE_WORDS = 300_000
 SALT_ROWS = 20_000
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
@@ -94,23 +92,14 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return slots
 
 
-def _pieces(batches: Iterator[pd.DataFrame], path: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
-    made, split = textio.load(path), textio.BYTE_PATTERN.findall
-    special, end = textio.special_tokens(made), np.uint32(end_id).tobytes()
-    table: dict[str, bytes] = {}
+def _pieces(batches: Iterator[pd.DataFrame], path: str, ranks: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
+    made, fast, end = textio.load(path), textio.load_ranks(ranks), np.uint32(end_id).tobytes()
+    special = textio.special_tokens(made)
 
     def encode(text: str) -> bytes:
-        if not textio.SAFE.fullmatch(text) or any(x in text for x in special):
-            return np.array(made.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        parts = split(text)
-        new = list({x for x in parts if x not in table})
-        if new:
-            if len(table) + len(new) > CACHE_WORDS:
-                table.clear()
-                new = list(set(parts))
-            for word, got in zip(new, made.encode_batch(new, add_special_tokens=False), strict=True):
-                table[word] = np.array(got.ids, dtype="<u4").tobytes()
-        return b"".join([table[x] for x in parts])
+        if textio.SAFE.fullmatch(text) and not any(x in text for x in special):
+            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(made.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
@@ -125,10 +114,10 @@ def _pieces(batches: Iterator[pd.DataFrame], path: str, capacity: int, end_id: i
         yield pd.DataFrame(out)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, ranks: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = rows.mapInPandas(lambda b: _pieces(b, path, capacity, end_id), PIECES)
+    pieces = rows.mapInPandas(lambda b: _pieces(b, path, ranks, capacity, end_id), PIECES)
     pieces = materialize(pieces.withColumn("doc_id", F.col("doc_id").cast("long")), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = best_fit_decreasing(histogram, capacity)
@@ -165,4 +154,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     """Query: every document's pieces and their places in sequences of 1024 tokens."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), textio.tokenizer_path("byte_bpe_50k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), *textio.byte_vocabulary())

@@ -190,7 +190,7 @@ def brute_pieces(text, capacity=1024):
 @pytest.mark.parametrize("whole", [False, True])
 def test_packing(spark, docs, sf, whole):
     docs = spark.read.parquet(f"{sf}/documents.parquet") if whole else docs
-    got = packing.pack(docs, textio.tokenizer_path("byte_bpe_50k.json")).toPandas()
+    got = packing.pack(docs, *textio.byte_vocabulary()).toPandas()
     want = []
     for r in docs.collect():
         ids, start = brute_pieces(r.text), 0
@@ -204,7 +204,7 @@ def test_packing(spark, docs, sf, whole):
     for _, own in got.sort_values("offset").groupby("sequence_id"):
         assert list(own.offset) == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 1024
     assert got.sequence_id.nunique() <= 1.02 * got.length.sum() / 1024 + 2
-    assert packing.pack(empty(docs), textio.tokenizer_path("byte_bpe_50k.json")).count() == 0
+    assert packing.pack(empty(docs), *textio.byte_vocabulary()).count() == 0
 
 
 def test_best_fit_equals_the_plain_loop():
