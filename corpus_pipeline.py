@@ -33,7 +33,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs, textio.tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, *textio.byte_vocabulary())
 
 
 STAGES = [
