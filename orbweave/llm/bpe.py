@@ -1,10 +1,11 @@
 """Operator 3, BPE encoding and decoding through a distinct-word table.
 
-Documents are dealt to blocks of about ``block_bytes`` of text (compressed for the shuffle). Each block
-splits its words and sends every distinct word once, sorted and compressed, to the range of the word
-table that owns it; the owner encodes each distinct word once and answers with the ids in the same order. The block joins the
-answers back by word position and the ids to their pieces (the vocabulary, a bounded table) for the
-decoded form. A frequent word is one entry per block, never one row per use.
+Each task of the scan gathers its documents into blocks of about ``block_bytes`` of text. A block splits every
+text once, numbers its distinct words in the order in which they come, and keeps the texts as word numbers. The distinct
+words go, compressed, to the range of the word table that owns them; the owner encodes each distinct word once and
+answers with the ids in the same order. The block joins the answers back by word position and the ids to their
+pieces (the vocabulary, a bounded table) for the decoded form. A frequent word is one entry per block, never one
+row per use; texts themselves are not shuffled.
 
 Decoding joins the pieces of all ids by a space, as the library does for a file without a decoder.
 Defined cases: null text is the empty text (no tokens); null ids and repeated rows are kept; an empty
@@ -17,21 +18,26 @@ import functools
 import hashlib
 import re
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm import textio
+from orbweave.storage import materialize
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 RANGE_BYTES = 8 << 20
 MAX_RANGES = 4096
-#: Distinct words an owner keeps encoded at a time.
+#: Distinct words an owner keeps encoded at a time, and words that the library gets as one text.
 TABLE_WORDS = 600_000
+JOINED_WORDS = 512
+#: Rows of a block: a document's word numbers (owner -1), or the words that one owner encodes and their numbers.
+GATHERED = "block long, owner int, doc_id string, words binary, numbers binary"
 CODED = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -55,10 +61,36 @@ def make_splitter(path: str):
     return split
 
 
-def encode_words(path: str, words: list[str]) -> list[bytes]:
-    """Per word: its ids as little-endian 32-bit numbers."""
+@functools.lru_cache(maxsize=4)
+def _word_ends(path: str) -> np.ndarray:
+    """Which ids end a word, by the suffix that the vocabulary marks it with; none if it has no such suffix."""
     made = textio.load(path)
-    return [array("I", got.ids).tobytes() for got in made.encode_batch(words, add_special_tokens=False)]
+    suffix = getattr(made.model, "end_of_word_suffix", None)
+    return np.array([bool(suffix) and p.endswith(suffix) for p in pieces(path)[0]], dtype=bool)
+
+
+def encode_words(path: str, words: list[str]) -> list[bytes]:
+    """Per word: its ids as little-endian 32-bit numbers.
+
+    Words of safe letters alone split the same way next to a space, so they are encoded many to a text and the
+    ids cut after each id that ends a word; where the cuts do not match the words, and for other words, one by one.
+    """
+    made, ends, out = textio.load(path), _word_ends(path), [b""] * len(words)
+    plain = [k for k, w in enumerate(words) if w.isalpha() and textio.SAFE.fullmatch(w)]
+    single = sorted(set(range(len(words))).difference(plain))
+    groups = [plain[a : a + JOINED_WORDS] for a in range(0, len(plain), JOINED_WORDS)]
+    for own, got in zip(groups, made.encode_batch_fast([" ".join([words[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(got.ids, dtype="<u4")
+        cuts = 4 * (np.flatnonzero(ends[ids]) + 1)
+        if len(cuts) != len(own) or cuts[-1] != 4 * len(ids):
+            single += own
+            continue
+        data, at = ids.tobytes(), 0
+        for k, end in zip(own, cuts.tolist(), strict=True):
+            out[k], at = data[at:end], end
+    for k, got in zip(single, made.encode_batch_fast([words[k] for k in single], add_special_tokens=False), strict=True):
+        out[k] = np.array(got.ids, dtype="<u4").tobytes()
+    return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -69,17 +101,6 @@ def pieces(path: str) -> tuple[list[str], list[str]]:
     return [made.id_to_token(i) or "" for i in range(top)], [str(i) for i in range(top)]
 
 
-def owned_words(texts: Iterable[list[str]], ranges: int) -> dict[int, list[str]]:
-    """Distinct words of a block's split texts by owner, in the order in which they are sent and answered."""
-    found: set[str] = set()
-    for words in texts:
-        found.update(words)
-    owned: dict[int, list[str]] = {}
-    for word in sorted(found):
-        owned.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % ranges, []).append(word)
-    return owned
-
-
 def _zip(text: str) -> bytes:
     return zlib.compress(text.encode("utf-8", "surrogatepass"), 3)
 
@@ -88,44 +109,70 @@ def _unzip(data: bytes) -> str:
     return zlib.decompress(data).decode("utf-8", "surrogatepass")
 
 
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte of all, compressed."""
+    return zlib.compress(np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 def pack_ids(coded: list[bytes]) -> bytes:
-    """Ids of a list of words: how many each has, then the low and the high halves of all."""
-    ids = np.frombuffer(b"".join(coded), dtype="<u4")
+    """Ids of a list of words: how many words, how many ids each has, then the ids."""
     sizes = np.array([len(c) // 4 for c in coded], dtype="<u4")
-    halves = ids.astype("<u2").tobytes(), (ids >> 16).astype("<u2").tobytes()
-    return zlib.compress(b"".join([np.array([len(sizes)], dtype="<u4").tobytes(), sizes.tobytes(), *halves]), 3)
+    return pack_numbers(np.concatenate([np.array([len(sizes)], dtype="<u4"), sizes, np.frombuffer(b"".join(coded), dtype="<u4")]))
 
 
 def unpack_ids(data: bytes) -> list[list[int]]:
-    raw = zlib.decompress(data)
-    n = int(np.frombuffer(raw, dtype="<u4", count=1)[0])
-    sizes = np.frombuffer(raw, dtype="<u4", count=n, offset=4)
-    low, high = np.frombuffer(raw, dtype="<u2", offset=4 + 4 * n).reshape(2, -1)
-    ids, ends = (low.astype(np.int64) | high.astype(np.int64) << 16).tolist(), np.cumsum(sizes).tolist()
+    raw = unpack_numbers(data)
+    n = int(raw[0])
+    sizes, ids = raw[1 : n + 1], raw[n + 1 :].tolist()
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
     return [ids[b - k : b] for b, k in zip(ends, sizes.tolist(), strict=True)]
 
 
+def _gather(batches: Iterator[pd.DataFrame], path: str, ranges: int, block_bytes: int) -> Iterator[pd.DataFrame]:
+    """The blocks of one task, numbered by the task's partition; what it makes is written before anyone reads it."""
+    split, block = make_splitter(path), TaskContext.get().partitionId() << 32
+    index: defaultdict[str, int] = defaultdict()
+    index.default_factory = index.__len__
+    texts: list[tuple] = []
+    held = 0
+
+    def flush() -> pd.DataFrame:
+        owned: dict[int, tuple[list[str], list[int]]] = {}
+        for word, number in index.items():
+            words, numbers = owned.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % ranges, ([], []))
+            words.append(word)
+            numbers.append(number)
+        asked = []
+        for owner, (words, numbers) in owned.items():
+            asked.append((block, owner, None, _zip("\n".join(words)), pack_numbers(np.diff(np.array(numbers, dtype="<u4"), prepend=np.uint32(0)))))
+        out = pd.DataFrame([(block, -1, doc_id, None, numbers) for doc_id, numbers in texts] + asked, columns=["block", "owner", "doc_id", "words", "numbers"])
+        index.clear()
+        texts.clear()
+        return out
+
+    for b in batches:
+        for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            words = split(text)
+            texts.append((doc_id, pack_numbers(np.fromiter(map(index.__getitem__, words), dtype="<u4", count=len(words)))))
+            held += len(text)
+            if held >= block_bytes:
+                yield flush()
+                block, held = block + 1, 0
+    if texts:
+        yield flush()
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     ranges = min(MAX_RANGES, max(1, -(-total // RANGE_BYTES)))
 
-    def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(text=[_zip(t) for t in b["text"]])
-
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text").mapInPandas(
-        squeeze, "block long, doc_id string, text binary"
-    )
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        split = make_splitter(path)
-        owned = owned_words((split(_unzip(z)) for z in pdf["text"]), ranges)
-        out = [(pdf["block"].iloc[0], r, _zip("\n".join(words))) for r, words in owned.items()]
-        return pd.DataFrame(out, columns=["block", "owner", "words"])
-
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table: dict[str, bytes] = {}
         for b in batches:
@@ -139,23 +186,32 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 done.append(pack_ids([table[w] for w in words]))
             yield b.assign(ids=done)
 
-    def finish(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        split, piece, decimal, table = make_splitter(path), *pieces(path), {}
-        words = [split(_unzip(z)) for z in texts["text"]]
-        owned = owned_words(words, ranges)
-        for owner, coded in zip(answers["owner"], answers["ids"], strict=True):
-            for word, ids in zip(owned[owner], unpack_ids(coded), strict=True):
-                table[word] = (" ".join([decimal[i] for i in ids]), " ".join([piece[i] for i in ids])) if ids else None
-        out = []
-        for doc_id, own in zip(texts["doc_id"], words, strict=True):
-            got = [x for x in map(table.__getitem__, own) if x]
-            ids, decoded = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
-            out.append((doc_id, ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+    def finish(key, gathered: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        piece, decimal = pieces(path)
+        answered = dict(zip(answers["owner"], answers["ids"], strict=True))
+        asked, texts = gathered[gathered["owner"] >= 0], gathered[gathered["owner"] < 0]
+        numbers = [np.cumsum(unpack_numbers(z), dtype=np.int64) for z in asked["numbers"]]
+        n = sum(map(len, numbers))
+        sizes, ids_of, text_of = np.zeros(n, dtype=np.int64), [""] * n, [""] * n
+        for owner, own in zip(asked["owner"], numbers, strict=True):
+            for number, ids in zip(own.tolist(), unpack_ids(answered[owner]), strict=True):
+                sizes[number], ids_of[number], text_of[number] = len(ids), " ".join([decimal[i] for i in ids]), " ".join([piece[i] for i in ids])
+        silent, out = bool((sizes == 0).any()), []
+        for doc_id, z in zip(texts["doc_id"], texts["numbers"], strict=True):
+            own = unpack_numbers(z)
+            count = int(sizes[own].sum())
+            if silent:
+                own = own[sizes[own] > 0]
+            own = own.tolist()
+            ids, decoded = " ".join(map(ids_of.__getitem__, own)), " ".join(map(text_of.__getitem__, own))
+            out.append((doc_id, count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    asked = dealt.groupBy("block").applyInPandas(ask, "block long, owner int, words binary")
+    gathered = materialize(rows.mapInPandas(lambda b: _gather(b, path, ranges, block_bytes), GATHERED), "word-numbers")
+    asked = gathered.where("owner >= 0").select("block", "owner", "words")
     answered = asked.repartition("owner").sortWithinPartitions("owner", "block").mapInPandas(answer, "block long, owner int, ids binary")
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(finish, CODED).withColumn("doc_id", F.col("doc_id").cast("long"))
+    placed = gathered.select("block", "owner", "doc_id", "numbers")
+    return placed.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(finish, CODED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
