@@ -1,7 +1,7 @@
 """Operator 3, BPE encoding and decoding through a distinct-word table.
 
 Each task of the scan gathers its documents into blocks of about ``block_bytes`` of text. A block splits every
-text once, numbers its distinct words in the order in which they come, and keeps the texts as word numbers. The distinct
+text once, numbers its distinct words from the most frequent on, and keeps the texts as word numbers. The distinct
 words go, compressed, to the range of the word table that owns them; the owner encodes each distinct word once and
 answers with the ids in the same order. The block joins the answers back by word position and the ids to their
 pieces (the vocabulary, a bounded table) for the decoded form. A frequent word is one entry per block, never one
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 from orbweave.llm import textio
 from orbweave.storage import materialize
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 RANGE_BYTES = 8 << 20
 MAX_RANGES = 4096
 #: Distinct words an owner keeps encoded at a time, and words that the library gets as one text.
 TABLE_WORDS = 600_000
 JOINED_WORDS = 512
-#: Rows of a block: a document's word numbers (owner -1), or the words that one owner encodes and their numbers.
-GATHERED = "block long, owner int, doc_id string, words binary, numbers binary"
+#: Words of whole documents that a block keeps in one row, about.
+GROUP_WORDS = 1 << 20
+#: Rows of a block: the sizes and word numbers of some documents (owner -1), or the words that one owner encodes and their numbers.
+GATHERED = "block long, owner int, doc_ids array<string>, sizes binary, words binary, numbers binary"
 CODED = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -102,20 +105,20 @@ def pieces(path: str) -> tuple[list[str], list[str]]:
 
 
 def _zip(text: str) -> bytes:
-    return zlib.compress(text.encode("utf-8", "surrogatepass"), 3)
+    return zstandard.compress(text.encode("utf-8", "surrogatepass"), 9)
 
 
 def _unzip(data: bytes) -> str:
-    return zlib.decompress(data).decode("utf-8", "surrogatepass")
+    return zstandard.decompress(data).decode("utf-8", "surrogatepass")
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, byte by byte of all, compressed."""
-    return zlib.compress(np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 5)
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
@@ -138,27 +141,40 @@ def _gather(batches: Iterator[pd.DataFrame], path: str, ranges: int, block_bytes
     split, block = make_splitter(path), TaskContext.get().partitionId() << 32
     index: defaultdict[str, int] = defaultdict()
     index.default_factory = index.__len__
-    texts: list[tuple] = []
+    ids: list[str | None] = []
+    texts: list[np.ndarray] = []
     held = 0
 
     def flush() -> pd.DataFrame:
+        words, whole = list(index), np.concatenate(texts)
+        order = np.argsort(-np.bincount(whole, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), dtype="<u4")
+        rank[order] = np.arange(len(words), dtype="<u4")
+        ranked, ends = rank[whole], np.cumsum([len(t) for t in texts])
+        rows, start = [], 0
+        while start < len(texts):
+            at = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, at + GROUP_WORDS, side="right")))
+            sizes = np.diff(ends[start:stop], prepend=at)
+            rows.append((block, -1, ids[start:stop], pack_numbers(sizes), None, pack_numbers(ranked[at : ends[stop - 1]])))
+            start = stop
         owned: dict[int, tuple[list[str], list[int]]] = {}
-        for word, number in index.items():
-            words, numbers = owned.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % ranges, ([], []))
-            words.append(word)
+        for number, k in enumerate(order.tolist()):
+            own, numbers = owned.setdefault(zlib.crc32(words[k].encode("utf-8", "surrogatepass")) % ranges, ([], []))
+            own.append(words[k])
             numbers.append(number)
-        asked = []
-        for owner, (words, numbers) in owned.items():
-            asked.append((block, owner, None, _zip("\n".join(words)), pack_numbers(np.diff(np.array(numbers, dtype="<u4"), prepend=np.uint32(0)))))
-        out = pd.DataFrame([(block, -1, doc_id, None, numbers) for doc_id, numbers in texts] + asked, columns=["block", "owner", "doc_id", "words", "numbers"])
+        for owner, (own, numbers) in owned.items():
+            rows.append((block, owner, None, None, _zip("\n".join(own)), pack_numbers(np.diff(numbers, prepend=0))))
         index.clear()
+        ids.clear()
         texts.clear()
-        return out
+        return pd.DataFrame(rows, columns=["block", "owner", "doc_ids", "sizes", "words", "numbers"])
 
     for b in batches:
         for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
             words = split(text)
-            texts.append((doc_id, pack_numbers(np.fromiter(map(index.__getitem__, words), dtype="<u4", count=len(words)))))
+            ids.append(doc_id)
+            texts.append(np.fromiter(map(index.__getitem__, words), dtype="<u4", count=len(words)))
             held += len(text)
             if held >= block_bytes:
                 yield flush()
@@ -197,20 +213,19 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for number, ids in zip(own.tolist(), unpack_ids(answered[owner]), strict=True):
                 sizes[number], ids_of[number], text_of[number] = len(ids), " ".join([decimal[i] for i in ids]), " ".join([piece[i] for i in ids])
         silent, out = bool((sizes == 0).any()), []
-        for doc_id, z in zip(texts["doc_id"], texts["numbers"], strict=True):
-            own = unpack_numbers(z)
-            count = int(sizes[own].sum())
-            if silent:
-                own = own[sizes[own] > 0]
-            own = own.tolist()
-            ids, decoded = " ".join(map(ids_of.__getitem__, own)), " ".join(map(text_of.__getitem__, own))
-            out.append((doc_id, count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+        for doc_ids, lengths, z in zip(texts["doc_ids"], texts["sizes"], texts["numbers"], strict=True):
+            whole, ends = unpack_numbers(z), np.cumsum(unpack_numbers(lengths), dtype=np.int64)
+            for doc_id, own in zip(doc_ids, np.split(whole, ends[:-1]), strict=True):
+                count = int(sizes[own].sum())
+                own = (own[sizes[own] > 0] if silent else own).tolist()
+                ids, decoded = " ".join(map(ids_of.__getitem__, own)), " ".join(map(text_of.__getitem__, own))
+                out.append((doc_id, count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     gathered = materialize(rows.mapInPandas(lambda b: _gather(b, path, ranges, block_bytes), GATHERED), "word-numbers")
     asked = gathered.where("owner >= 0").select("block", "owner", "words")
     answered = asked.repartition("owner").sortWithinPartitions("owner", "block").mapInPandas(answer, "block long, owner int, ids binary")
-    placed = gathered.select("block", "owner", "doc_id", "numbers")
+    placed = gathered.select("block", "owner", "doc_ids", "sizes", "numbers")
     return placed.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(finish, CODED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
