@@ -127,6 +127,28 @@ def test_bpe(spark, docs, sf):
     assert bpe.encode_decode(empty(docs), path).count() == 0
 
 
+def test_bpe_words_joined_or_alone(spark, sf):
+    path = textio.tokenizer_path("word_bpe_49k.json")
+    made, split = textio.load(path), bpe.make_splitter(path)
+    found = {w for _, t in documents(spark, sf)[:200] for w in split(t)}
+    words = [*sorted(found), "'s", "'", "s", "<|endoftext|>", "<|", "7", "_", "ª", "ß", "中文", "한국어", "\u0301", "e\u0301", "🙂", "x" * 5000]
+    alone = [made.encode(w, add_special_tokens=False).ids for w in words]
+    assert bpe.unpack_ids(bpe.pack_ids(bpe.encode_words(path, words))) == alone
+    assert bpe.encode_words(path, []) == [] and bpe.unpack_ids(bpe.pack_ids([])) == []
+
+
+def test_bpe_numbers_round_trip():
+    for own in ([], [0], [1, 255, 256, 65_536, 2**32 - 1]):
+        assert bpe.unpack_numbers(bpe.pack_numbers(np.array(own, dtype="<u4"))).tolist() == own
+
+
+def test_bpe_blocks_of_any_size(spark, docs):
+    path = textio.tokenizer_path("word_bpe_49k.json")
+    wanted = sorted(str((r.doc_id, *brute_bpe(r.text))) for r in docs.collect())
+    for size in (1, 300, 1 << 30):
+        assert sorted(str(tuple(r)) for r in bpe.encode_decode(docs, path, block_bytes=size).collect()) == wanted
+
+
 def brute_secrets(text):
     found = []
     for k, (kind, pattern, flags, group, least) in enumerate((
