@@ -1,19 +1,24 @@
 """Operator 7, line dedup: content-defined chunks of lines.
 
-A rolling hash over the hashes of the last ``WINDOW`` lines places a boundary where it falls in a
-residue class, so the chunks inside a shared passage are the same whatever stands before it. Chunks of
-two lines or more (``MIN_LINES``) that occur in several places are compared byte for byte and removed
-everywhere but at their first place (least id, then first line).
-
-A line that is blank joins the chunk it stands in. Defined cases: null text stays null and has no lines;
-a text whose lines all go becomes empty, the row stays; rows repeated with the same id and text keep the
-same lines; of equal chunks under null ids none is first, all go if any id has it; empty tables give
-empty results; extra columns pass through ``dedup_lines``.
+A line ends at a line feed or, inside a longer line, at the end of a sentence, so a passage set within
+running text has lines of its own. A rolling hash over the hashes of the last ``WINDOW`` lines places a
+boundary where it falls in a residue class, so the chunks inside a shared passage are the same whatever
+stands before it. Chunks of two lines or more (``MIN_LINES``) that occur in several places are compared
+byte for byte, line by line without their ends, and removed everywhere but at their first place (least
+id, then first line). A chunk inside one line-feed line has ``MIN_WORDS`` words at least, so that stock
+phrases stay.
+
+A line that is blank joins the chunk it stands in; where a chunk with a line feed goes from the middle of
+a line, the line feed stays. Defined cases: null text stays null and has no lines; a text whose lines all
+go becomes empty, the row stays; rows repeated with the same id and text keep the same lines; of equal
+chunks under null ids none is first, all go if any id has it; empty tables give empty results; extra
+columns pass through ``dedup_lines``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,11 +29,25 @@ WINDOW = 2
 #: One line in so many ends a chunk, on average, once the chunk has its least length.
 DIVISOR = 2
 MIN_LINES = 2
+MIN_WORDS = 12
+#: Where lines end, as a match for Python and as a split for the JVM.
+_END = re.compile(r"[\n.!?](?:(?<=\n)| )")
+_END_SPLIT = r"(?<=\n)|(?<=[.!?] )"
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 CHUNKS = "doc_id string, version long, digest binary, chunk string, starts array<int>, n_lines int"
 
 
+def split_lines(text: str) -> list[str]:
+    """Lines with the line feed or space that ends them; only the last has none."""
+    at, out = 0, []
+    for m in _END.finditer(text):
+        out.append(text[at : m.end()])
+        at = m.end()
+    out.append(text[at:])
+    return out
+
+
 def line_hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -48,17 +67,40 @@ def chunk_lines(lines: list[str], window: int = WINDOW, divisor: int = DIVISOR,
     return out
 
 
+def counted_chunks(text: str, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
+    """``(start, end, chunk)`` of the chunks that may be removed; the chunk has its lines without their ends."""
+    ended = split_lines(text)
+    lines, out = [x[:-1] for x in ended[:-1]] + ended[-1:], []
+    for start, end in chunk_lines(lines):
+        if end - start >= min_lines:
+            chunk = "\n".join(lines[start:end])
+            if chunk.strip() and (any(x[-1] == "\n" for x in ended[start : end - 1]) or len(chunk.split()) >= min_words):
+                out.append((start, end, chunk))
+    return out
+
+
+def cut_lines(text: str, gone: set[int]) -> str:
+    """``text`` without the lines of these places."""
+    lines, out = split_lines(text), []
+    for i, line in enumerate(lines):
+        if i not in gone:
+            out.append(line)
+        elif line.endswith("\n") and out:
+            out[-1] = out[-1][:-1] + "\n"
+    if out and len(lines) - 1 in gone:
+        out[-1] = out[-1][:-1]
+    return "".join(out)
+
+
 def _chunks(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for doc_id, version, text in zip(b["doc_id"], b["version"], b["text"], strict=True):
             if text is None:
                 continue
-            lines, seen = text.split("\n"), {}
-            for start, end in chunk_lines(lines):
-                chunk = "\n".join(lines[start:end])
-                if end - start >= min_lines and chunk.strip():
-                    seen.setdefault((chunk, end - start), []).append(start)
+            seen: dict[tuple[str, int], list[int]] = {}
+            for start, end, chunk in counted_chunks(text, min_lines):
+                seen.setdefault((chunk, end - start), []).append(start)
             for (chunk, n), starts in seen.items():
                 digest = hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 out.append((doc_id, version, digest, chunk, starts, n))
@@ -88,13 +130,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated chunks cut from the text; with ``counts`` also ``n_lines`` and ``n_removed`` (long)."""
     cuts = removals(docs, id_col, text_col, min_lines).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("cuts").alias("__cuts"))
     joined = docs.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__version")), "left")
-    lines = F.split(F.col(text_col), "\n")
+    lines = F.split(F.col(text_col), _END_SPLIT)
     gone = F.flatten(F.transform("__cuts", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
-    kept = F.array_join(F.filter(F.transform(lines, lambda s, i: F.when(~F.array_contains(F.col("__gone"), i), s)), lambda s: s.isNotNull()), "\n")
+
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut_lines(t, set(g)) for t, g in zip(text, gone, strict=True)], dtype=object)
+
     out = joined.withColumn("__gone", gone)
+    cut_from = F.when(F.col("__gone").isNotNull(), F.col(text_col))
     added = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")} if counts else {}
     names = [c for c in docs.columns if c not in added]
-    return out.withColumns(added | {text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)}).select(*names, *added)
+    return out.withColumns(added | {text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept(cut_from, F.col("__gone")))}).select(*names, *added)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -257,16 +257,45 @@ def test_best_fit_equals_the_plain_loop():
             assert at <= 64
 
 
+def plain_lines(text):
+    """Lines with their ends, character by character."""
+    out, line = [], ""
+    for i, c in enumerate(text):
+        line += c
+        if c == "\n" or c == " " and i and text[i - 1] in ".!?":
+            out.append(line)
+            line = ""
+    return [*out, line]
+
+
+def plain_chunks(text):
+    ended = plain_lines(text)
+    lines = [x[:-1] for x in ended[:-1]] + ended[-1:]
+    for a, b in line_dedup.chunk_lines(lines):
+        c = "\n".join(lines[a:b])
+        if b - a >= 2 and c.strip() and ("\n" in "".join(ended[a : b - 1]) or len(c.split()) >= 12):
+            yield a, b, c
+
+
+def plain_cut(text, gone):
+    ended, out = plain_lines(text), ""
+    for k, x in enumerate(ended):
+        if k not in gone:
+            out += x
+        elif x.endswith("\n") and out.endswith(" "):
+            out = out[:-1] + "\n"
+    return out[:-1] if len(ended) - 1 in gone else out
+
+
 def brute_line_dedup(rows):
     seen, out = {}, []
-    chunks = [(i, t, [(a, b, "\n".join(t.split("\n")[a:b])) for a, b in line_dedup.chunk_lines(t.split("\n"))] if t is not None else []) for i, t in rows]
+    chunks = [(i, t, list(plain_chunks(t)) if t is not None else []) for i, t in rows]
     for i, _, own in sorted(chunks, key=lambda x: x[0]):
         for a, b, c in own:
-            if b - a >= 2 and c.strip():
-                seen.setdefault((c, b - a), (i, a))
+            seen.setdefault((c, b - a), (i, a))
     for i, t, own in chunks:
-        gone = {k for a, b, c in own if b - a >= 2 and c.strip() and seen[(c, b - a)] != (i, a) for k in range(a, b)}
-        out.append((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
+        gone = {k for a, b, c in own if seen[(c, b - a)] != (i, a) for k in range(a, b)}
+        out.append((i, plain_cut(t, gone) if gone else t))
     return out
 
 
@@ -283,6 +312,22 @@ def test_line_dedup(spark, docs, sf):
     assert line_dedup.dedup_lines(docs).count() == docs.count() and line_dedup.dedup_lines(empty(docs)).count() == 0
 
 
+def test_lines_end_at_line_feeds_and_sentences():
+    for text in ["", "a", "a\n", "A b. C d.\nE! F? g.h . \n\n. ", "x.  y.\n z", "é. ñ\u3002 q"]:
+        assert line_dedup.split_lines(text) == plain_lines(text) and "".join(plain_lines(text)) == text
+    assert line_dedup.cut_lines("A. B. C.\nD.", {1, 2}) == "A.\nD." and line_dedup.cut_lines("A. B.", {1}) == "A." and line_dedup.cut_lines("A. B.", {0, 1}) == ""
+
+
+def test_passage_inside_lines_goes(spark):
+    passage = " ".join(f"Sentence {i} of the notice says {i * i} things about it." for i in range(12))
+    rows = [(i, f"Own start {i} of row {i} goes on {passage} And own end {i}.\nLast line {i}") for i in range(4)]
+    got = dict(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == dict(brute_line_dedup(rows)) and got[0] == rows[0][1]
+    for i in range(1, 4):
+        assert got[i].startswith(f"Own start {i}") and got[i].endswith(f"And own end {i}.\nLast line {i}")
+        assert len(rows[i][1].split()) - len(got[i].split()) >= len(passage.split()) / 3  # chunks at the edges take in own text and stay
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(3)
     passage = [f"shared line {rng.random()}" for _ in range(40)]
