@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ _END = re.compile(r"[\n.!?](?:(?<=\n)| )")
 _END_SPLIT = r"(?<=\n)|(?<=[.!?] )"
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-CHUNKS = "doc_id string, version long, digest binary, chunk string, starts array<int>, n_lines int"
+PLACES = "doc_id string, version long, digest binary, starts array<int>, n_lines int"
+CHUNKS = PLACES + ", chunk string"
 
 
 def split_lines(text: str) -> list[str]:
@@ -49,7 +51,7 @@ def split_lines(text: str) -> list[str]:
 
 
 def line_hash(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
 def chunk_lines(lines: list[str], window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> list[tuple[int, int]]:
@@ -92,7 +94,7 @@ def cut_lines(text: str, gone: set[int]) -> str:
     return "".join(out)
 
 
-def _chunks(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.DataFrame]:
+def _chunks(batches: Iterator[pd.DataFrame], min_lines: int, with_text: bool) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for doc_id, version, text in zip(b["doc_id"], b["version"], b["text"], strict=True):
@@ -103,21 +105,22 @@ def _chunks(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.Data
                 seen.setdefault((chunk, end - start), []).append(start)
             for (chunk, n), starts in seen.items():
                 digest = hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                out.append((doc_id, version, digest, chunk, starts, n))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+                out.append((doc_id, version, digest, starts, n, chunk) if with_text else (doc_id, version, digest, starts, n))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in (CHUNKS if with_text else PLACES).split(", ")])
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """Per row with something to remove: ``doc_id, version, cuts`` (start and length of every chunk to remove)."""
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    chunks = rows.mapInPandas(lambda b: _chunks(b, min_lines), CHUNKS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    chunks = rows.mapInPandas(lambda b: _chunks(b, min_lines, True), CHUNKS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    every = rows.mapInPandas(lambda b: _chunks(b, min_lines, False), PLACES).withColumn("doc_id", F.col("doc_id").cast("long"))
     repeated = (
         chunks.groupBy("digest", "chunk")
         .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max(F.size("starts")).alias("own"))
         .where("n > 1 OR own > 1")
         .select("digest", "first")
     )
-    places = chunks.drop("chunk").join(repeated, "digest")
+    places = every.join(repeated, "digest")
     later = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.slice("starts", 2, F.size("starts"))).otherwise(F.col("starts"))
     cut = F.transform(later, lambda s: F.struct(s.alias("start"), F.col("n_lines").alias("n")))
     return (
