@@ -8,6 +8,8 @@ original among its passages of the lowest level that links, if that is an earlie
 then laid out in reply order: roots by turn, each followed by its replies, and every message loses its
 quotes and the attribution lines before them.
 
+The reply order comes from a tour of each tree, ranked by pointer doubling: every step joins each place of the
+tour to one other, so neither a long chain of replies nor a message with many replies is held in one row or task.
 Positions are counted over a range-partitioned order, so one conversation may hold any share of the rows.
 Defined cases: null text is empty; null roles read ``unknown``; a null turn comes first and is no
 original; null conversation ids form one conversation; messages repeated with one turn share its replies
@@ -77,15 +79,43 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(own=[x[0] for x in got], own_hashes=[x[1] for x in got], quotes=[[{"level": q[0], "hash": q[1]} for q in x[2]] for x in got], n_quoted=[x[3] for x in got])
 
 
-def _paths(links: DataFrame) -> DataFrame:
-    """``conv_id, turn, path`` for turns that reply to something: turns from the root to the message, by pointer doubling."""
-    state = materialize(links.select("conv_id", "turn", F.col("reply_to").alias("up"), F.array("turn").alias("path")), "reply-paths")
-    while not state.where("up IS NOT NULL").isEmpty():
-        above = state.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("next"), F.col("path").alias("lead"))
-        joined = state.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("t")), "left")
-        whole = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.coalesce("lead", F.array("up")), "path"))
-        state = materialize(joined.select("conv_id", "turn", F.col("next").alias("up"), whole.alias("path")), "reply-paths")
-    return state.drop("up")
+def _numbered(df: DataFrame, label: str, *order: str) -> DataFrame:
+    """``df`` with ``overall``, the place of a row in this order over the whole table."""
+    laid = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), label)
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["p"]: r["count"] for r in laid.groupBy(part.alias("p")).count().collect()}
+    before, total = {}, 0
+    for p in sorted(counts):
+        before[p], total = total, total + counts[p]
+    offsets = F.create_map(*[x for p, n in before.items() for x in (F.lit(p).cast("long"), F.lit(n).cast("long"))]) if before else F.lit(None).cast("map<bigint,bigint>")
+    return laid.withColumn("overall", F.element_at(offsets, part) + within).drop("at")
+
+
+def _tour(links: DataFrame) -> DataFrame:
+    """``c, t, root_turn, depth, left`` of every turn that replies or is replied to; ``left`` falls along the reply order.
+
+    A turn is entered, then its replies are toured by turn, then it is left. Each place of the tour knows the next
+    one; doubling adds up, from a place to the end of its tree, the turns entered and those still open.
+    """
+    key = lambda turn: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.col(turn))
+    edges = links.select("conv_id", "turn", key("turn").alias("key"), F.col("reply_to").alias("up_turn"), key("reply_to").alias("up"))
+    kids = materialize(_numbered(edges, "reply-edges", "up", "turn"), "reply-kids")
+    after = kids.select(F.col("up").alias("same"), (F.col("overall") - 1).alias("overall"), F.col("key").alias("sibling"))
+    after = kids.select("key", "up", "overall").join(after, "overall").where("up = same").select("key", "sibling")
+    first = kids.groupBy("up").agg(F.min_by("key", "overall").alias("child")).withColumnRenamed("up", "key")
+    turns = kids.select("conv_id", "turn", "key").unionAll(kids.select("conv_id", F.col("up_turn").alias("turn"), F.col("up").alias("key"))).distinct()
+    known = turns.join(kids.select("key", "up"), "key", "left").join(after, "key", "left").join(first, "key", "left")
+    enter, leave = lambda c: F.concat(F.lit("+"), F.col(c)), lambda c: F.concat(F.lit("-"), F.col(c))
+    place = lambda at, following, n, step: F.struct(at.alias("at"), following.alias("next"), F.lit(n).cast("long").alias("left"), F.lit(step).cast("long").alias("open"))
+    places = F.array(place(enter("key"), F.coalesce(enter("child"), leave("key")), 1, 1), place(leave("key"), F.coalesce(enter("sibling"), leave("up")), 0, -1))
+    state = materialize(known.select("conv_id", "turn", F.explode(places).alias("p"), F.col("turn").alias("root_turn")).select("conv_id", "turn", "p.*", "root_turn"), "reply-tour")
+    while not state.where("next IS NOT NULL").isEmpty():
+        ahead = state.select(F.col("at").alias("next"), F.col("next").alias("next2"), F.col("left").alias("left2"), F.col("open").alias("open2"), F.col("root_turn").alias("root2"))
+        moved = state.where("next IS NOT NULL").join(ahead, "next")
+        moved = moved.select("conv_id", "turn", "at", F.col("next2").alias("next"), (F.col("left") + F.col("left2")).alias("left"), (F.col("open") + F.col("open2")).alias("open"), F.col("root2").alias("root_turn"))
+        state = materialize(state.where("next IS NULL").unionByName(moved), "reply-tour")
+    entered = state.where(F.col("at").startswith("+"))
+    return entered.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "root_turn", (-F.col("open")).alias("depth"), "left")
 
 
 def reply_order(messages: DataFrame) -> DataFrame:
@@ -107,31 +137,17 @@ def reply_order(messages: DataFrame) -> DataFrame:
         .groupBy("conv_id", "turn").agg(F.min_by("origin", "level").alias("reply_to"), F.sum("n").alias("n_linked")),
         "reply-links",
     )
-    paths = _paths(links).join(links.withColumnsRenamed({"conv_id": "c", "turn": "t"}), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t"))).select(
-        F.col("conv_id").alias("c"), F.col("turn").alias("t"), "path", "reply_to", "n_linked"
-    )
-    laid = (
-        parsed.join(paths, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left")
-        .select(
-            "conv_id", "turn", "role", "own", "reply_to", "n_quoted", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"),
-            F.coalesce("path", F.array("turn")).alias("path"),
-        )
-        .repartitionByRange("conv_id", "path", "role", "own")
-        .sortWithinPartitions("conv_id", "path", "role", "own")
-        .withColumn("at", F.monotonically_increasing_id())
+    replies = links.withColumnsRenamed({"conv_id": "c2", "turn": "t2"})
+    tour = _tour(links).join(replies, F.col("c").eqNullSafe(F.col("c2")) & (F.col("t") == F.col("t2")), "left").drop("c2", "t2")
+    laid = parsed.join(tour, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left").select(
+        "conv_id", "turn", "role", "own", "reply_to", "n_quoted", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"),
+        F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), (-F.coalesce("left", F.lit(0).cast("long"))).alias("rank"),
     )
-    laid = materialize(laid, "reply-order")
-    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["count"] for r in laid.groupBy(part.alias("p")).count().collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    offsets = F.create_map(*[x for p, n in before.items() for x in (F.lit(p).cast("long"), F.lit(n).cast("long"))]) if before else F.lit(None).cast("map<bigint,bigint>")
-    numbered = laid.withColumn("overall", F.element_at(offsets, part) + within)
+    numbered = _numbered(laid, "reply-order", "conv_id", "root_turn", "rank", "role", "own")
     first = numbered.groupBy("conv_id").agg(F.min("overall").alias("first")).withColumnRenamed("conv_id", "c")
     text = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("own"))
     return numbered.join(first, F.col("conv_id").eqNullSafe(F.col("c"))).select(
-        "conv_id", "turn", "role", "reply_to", F.get("path", F.lit(0)).alias("root_turn"), (F.size("path") - 1).cast("long").alias("depth"),
+        "conv_id", "turn", "role", "reply_to", "root_turn", "depth",
         (F.col("overall") - F.col("first")).alias("position"), "n_quoted", "n_linked", text.alias("message"),
     )
 

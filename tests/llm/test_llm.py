@@ -473,3 +473,15 @@ def test_pipeline(spark, sf):
     final = {i for i, _, c in brute_components(texts) if i == c}
     assert {r.doc_id for r in left} == final
     assert all(r.n_chars == len(r.text) for r in left)
+
+
+def test_long_reply_chain_and_many_replies(spark):
+    chain = [(1, 0, "a", "start")] + [(1, i, "a", f"> own {i - 1}\nown {i}" if i > 1 else "> start\nown 1") for i in range(1, 70)]
+    star = [(None, 0, "a", "root text")] + [(None, i, "b", f"> root text\nreply {i}") for i in range(1, 40)] + [(None, 40, "c", "> reply 3\nlast")]
+    rows = chain + star
+    got = {(r.conv_id, r.turn): r for r in chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows)
+    assert [(got[1, i].position, got[1, i].depth, got[1, i].root_turn) for i in range(70)] == [(i, i, 0) for i in range(70)]
+    order = [0, 1, 2, 3, 40, *range(4, 40)]
+    assert [got[None, t].position for t in order] == list(range(41))
+    assert got[None, 40].depth == 2 and got[None, 40].reply_to == 3 and got[None, 5].depth == 1 and {r.root_turn for r in got.values()} == {0}
