@@ -99,8 +99,8 @@ def information_kept(offered: DataFrame, got: DataFrame) -> DataFrame:
 
     ``offered``: ship, product, level, weight; ``got``: product.
     """
-    credit = lambda c: F.element_at(F.array(*[F.lit(x) for x in (0.0, 0.5, 0.8, 1.0)]), F.col(c) + 1)
+    credit = lambda c: F.when(F.col(c) == 1, 0.5).when(F.col(c) == 2, 0.8).when(F.col(c) == 3, 1.0).otherwise(0.0)
     came = offered.join(got.select("product", F.lit(True).alias("came")), "product", "left")
     per = came.groupBy("ship").agg(F.max("level").alias("level"), F.max("weight").alias("weight"), F.bool_and(F.coalesce("came", F.lit(False))).alias("whole"), F.max(F.when(F.col("came"), F.col("level"))).alias("best"))
     share = F.when(F.col("whole"), credit("level")).otherwise(credit("best"))
-    return per.agg((F.sum(F.coalesce(share, F.lit(0.0)) * F.col("weight")) / F.sum("weight")).alias("kept"))
+    return per.agg((F.sum(share * F.col("weight")) / F.sum("weight")).alias("kept"))

@@ -76,6 +76,38 @@ def encode_priority_items(spark, sf):
     return p.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), R(F.sum("size"), 2).alias("bytes"), R(F.sum("value"), 2).alias("value"))
 
 
+@query(
+    """SELECT t.user_id * 1000 + t.day AS tile, 'raw' AS kind, CAST(1769472 AS DOUBLE) AS size, CAST(coalesce(s.w, 0) AS DOUBLE) AS value FROM v_tiles t LEFT JOIN
+    (SELECT user_id, day, sum(CASE WHEN dark THEN 5 ELSE 1 END) AS w FROM v_ship GROUP BY 1, 2) s USING (user_id, day) WHERE t.ctx <> 'cloud'""",
+    _SHIPS,
+)
+def encode_raw_tiles(spark, sf):
+    return encoding.encode_raw(_lod_tiles(spark, sf)).select("tile", "kind", "size", "value")
+
+
+@query(
+    """SELECT kind, count(*) AS n, CAST(sum(size) AS DOUBLE) AS bytes, CAST(sum(value) AS DOUBLE) AS value FROM (SELECT 'patch' AS kind, 1000 AS size, CASE WHEN dark THEN 5 ELSE 1 END AS value FROM v_ts WHERE ctx IN ('ships', 'coast') AND conf >= 0.25
+    UNION ALL SELECT 'fp', 1000, 0 FROM v_tiles, range(n_fp)) GROUP BY kind""",
+    _SHIPS,
+)
+def encode_fixed_patches(spark, sf):
+    p = encoding.encode_fixed(_lod_tiles(spark, sf))
+    return p.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("double")).alias("bytes"), F.sum(F.col("value").cast("double")).alias("value"))
+
+
+@query(
+    """SELECT round(sum(CASE WHEN whole THEN list_extract([0, 0.5, 0.8, 1], level + 1) ELSE coalesce(list_extract([0, 0.5, 0.8, 1], best + 1), 0) END * w) / CAST(sum(w) AS DOUBLE), 6) AS kept FROM (
+    SELECT image, max(level) AS level, bool_and(came) AS whole, max(level) FILTER (came) AS best, max(w) AS w FROM (
+      SELECT image, CASE WHEN conf >= 0.67 THEN 1 WHEN conf >= 0.4 THEN 2 ELSE 3 END AS level, CASE WHEN image % 10 = 0 THEN 5 ELSE 1 END AS w, cx >= 200 AS came FROM v_det WHERE conf >= 0.25) GROUP BY image)""",
+    v.DET,
+)
+def information_preserved(spark, sf):
+    level = F.when(F.col("conf") >= 0.67, 1).when(F.col("conf") >= 0.4, 2).otherwise(3)
+    seen = v.detections(spark, sf).where("conf >= 0.25").withColumn("product", F.concat_ws(":", "image", "det"))
+    offered = seen.select(F.col("image").alias("ship"), "product", level.alias("level"), F.when(F.col("image") % 10 == 0, 5).otherwise(1).alias("weight"))
+    return encoding.information_kept(offered, seen.where("cx >= 200").select("product")).select(R(F.col("kept")).alias("kept"))
+
+
 @query(
     "SELECT CAST(CASE WHEN conf < 0.25 THEN 0 ELSE least(CASE WHEN cx < 200 THEN 3 WHEN conf >= 0.67 THEN 1 ELSE 2 END + CASE WHEN image % 10 = 0 THEN 1 ELSE 0 END, 3) END AS INTEGER) AS level, count(*) AS n FROM v_det GROUP BY 1",
     v.DET,
