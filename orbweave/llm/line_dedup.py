@@ -1,14 +1,15 @@
-"""Operator 7, line dedup: content-defined chunks of lines.
+"""Operator 7, line dedup: content-defined chunks of lines, at every line.
 
 A line ends at a line feed or, inside a longer line, at the end of a sentence, so a passage set within
-running text has lines of its own. A rolling hash over the hashes of the last ``WINDOW`` lines places a
-boundary where it falls in a residue class, so the chunks inside a shared passage are the same whatever
-stands before it. Chunks of two lines or more (``MIN_LINES``) that occur in several places are compared
-byte for byte, line by line without their ends, and removed everywhere but at their first place (least
-id, then first line). A chunk inside one line-feed line has ``MIN_WORDS`` words at least, so that stock
-phrases stay.
-
-A line that is blank joins the chunk it stands in; where a chunk with a line feed goes from the middle of
+running text has lines of its own. The chunks are all pairs of neighbouring lines (``MIN_LINES``, blank
+ones between them not counted). They overlap and depend on nothing but their own lines, so the chunks
+inside a shared run of lines cover it, to both of its edges, wherever it stands. A line of ``LONG_LINE``
+words is a chunk by itself. A chunk of fewer than
+``MIN_WORDS`` words counts only across a line feed, so that stock phrases stay. Chunks that occur in several places are found by
+hash, compared byte for byte, line by line without their ends, and removed everywhere but at their first
+place (least id, then first line).
+
+A line that is blank goes with the lines on both its sides; where a chunk with a line feed goes from the middle of
 a line, the line feed stays. Defined cases: null text stays null and has no lines; a text whose lines all
 go becomes empty, the row stays; rows repeated with the same id and text keep the same lines; of equal
 chunks under null ids none is first, all go if any id has it; empty tables give empty results; extra
@@ -21,23 +22,22 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW = 2
-#: One line in so many ends a chunk, on average, once the chunk has its least length.
-DIVISOR = 2
 MIN_LINES = 2
 MIN_WORDS = 12
+LONG_LINE = 50
 #: Where lines end, as a match for Python and as a split for the JVM.
 _END = re.compile(r"[\n.!?](?:(?<=\n)| )")
 _END_SPLIT = r"(?<=\n)|(?<=[.!?] )"
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-PLACES = "doc_id string, version long, digest binary, starts array<int>, n_lines int"
-CHUNKS = PLACES + ", chunk string"
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+HASHES = "doc_id string, version long, hashes array<long>"
+CHUNKS = "doc_id string, version long, digest binary, starts array<int>, n_lines int, chunk string"
 
 
 def split_lines(text: str) -> list[str]:
@@ -50,35 +50,49 @@ def split_lines(text: str) -> list[str]:
     return out
 
 
-def line_hash(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+def chunk_ranges(counts: np.ndarray, first: np.ndarray, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> np.ndarray:
+    """Half-open line ranges of the chunks, one a row, in order, of many texts at once: ``counts`` has the words of
+    each line, ``first`` the place of the first line of the text that the line is in."""
+    at = np.flatnonzero(counts)
+    p = np.arange(len(at))
+    pair = np.searchsorted(at, at + min_lines - 1)
+    own = p[counts[at] >= long_line]
+    start, end = np.concatenate([p, own]), np.concatenate([pair, own])
+    inside = end < len(at)
+    start, end = at[start[inside]], at[end[inside]]
+    same = first[start] == first[end]
+    return np.unique(np.stack([start[same], end[same] + 1], axis=1), axis=0) if len(at) else np.zeros((0, 2), dtype=np.int64)
 
 
-def chunk_lines(lines: list[str], window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> list[tuple[int, int]]:
-    """Half-open line ranges of the chunks, in order; they cover all lines."""
-    power = pow(_MULTIPLIER, window, _MASK + 1)
-    hashes, rolling, start, out = [], 0, 0, []
-    for i, line in enumerate(lines):
-        hashes.append(line_hash(line))
-        rolling = (rolling * _MULTIPLIER + hashes[i] - (hashes[i - window] * power if i >= window else 0)) & _MASK
-        if i + 1 - start >= min_lines and (rolling >> 32) % divisor == 0:
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
+def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
+    """The ranges of the chunks of one text."""
+    counts = np.array([len(x.split()) for x in lines], dtype=np.int64)
+    return [(int(a), int(b)) for a, b in chunk_ranges(counts, np.zeros(len(lines), dtype=np.int64))]
 
 
-def counted_chunks(text: str, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
-    """``(start, end, chunk)`` of the chunks that may be removed; the chunk has its lines without their ends."""
-    ended = split_lines(text)
-    lines, out = [x[:-1] for x in ended[:-1]] + ended[-1:], []
-    for start, end in chunk_lines(lines):
-        if end - start >= min_lines:
-            chunk = "\n".join(lines[start:end])
-            if chunk.strip() and (any(x[-1] == "\n" for x in ended[start : end - 1]) or len(chunk.split()) >= min_words):
-                out.append((start, end, chunk))
-    return out
+def counted_ranges(texts: list[list[str]], min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Line ranges of the chunks that may be removed, over the lines of all texts, and where each text's lines start."""
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    counts = np.array([len(x.split()) for lines in texts for x in lines], dtype=np.int64)
+    feeds = np.array([x[-1:] == "\n" for lines in texts for x in lines], dtype=np.int64)
+    ranges = chunk_ranges(counts, np.repeat(starts, sizes), min_lines)
+    words, fed = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(feeds)])
+    a, b = ranges[:, 0], ranges[:, 1]
+    return ranges[(words[b] - words[a] >= min_words) | (fed[b - 1] > fed[a])], starts
+
+
+def bare(lines: list[str]) -> list[str]:
+    """Lines without the line feed or space that ends them."""
+    return [x[:-1] for x in lines[:-1]] + lines[-1:]
+
+
+def range_hashes(texts: list[list[str]], ranges: np.ndarray) -> np.ndarray:
+    """64-bit hashes of line ranges from prefix sums: a polynomial in the XXH3 of the bare lines, the same at every place."""
+    lines = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for own in texts for x in bare(own)], dtype=np.uint64)
+    power = lambda m: np.multiply.accumulate(np.array([1] + [m] * len(lines), dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(lines * power(_MULTIPLIER)[:-1], dtype=np.uint64)])
+    return ((sums[ranges[:, 1]] - sums[ranges[:, 0]]) * power(_INVERSE)[ranges[:, 0]]).view(np.int64)
 
 
 def cut_lines(text: str, gone: set[int]) -> str:
@@ -94,53 +108,71 @@ def cut_lines(text: str, gone: set[int]) -> str:
     return "".join(out)
 
 
-def _chunks(batches: Iterator[pd.DataFrame], min_lines: int, with_text: bool) -> Iterator[pd.DataFrame]:
+def _hashes(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.DataFrame]:
+    """The hashes of the chunks of each text, in their order."""
+    for b in batches:
+        texts = [[] if t is None else split_lines(t) for t in b["text"]]
+        ranges, starts = counted_ranges(texts, min_lines)
+        hashes = np.split(range_hashes(texts, ranges), np.searchsorted(ranges[:, 0], starts[1:]))
+        yield pd.DataFrame({"doc_id": b["doc_id"], "version": b["version"], "hashes": hashes[: len(b)]})
+
+
+def _chunks(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.DataFrame]:
+    """The chunks of each text at the places ``found``, equal ones together."""
     for b in batches:
         out = []
-        for doc_id, version, text in zip(b["doc_id"], b["version"], b["text"], strict=True):
-            if text is None:
-                continue
+        texts = [split_lines(t) for t in b["text"]]
+        ranges, starts = counted_ranges(texts, min_lines)
+        before = np.searchsorted(ranges[:, 0], starts)
+        for doc_id, version, text, found, at, base in zip(b["doc_id"], b["version"], texts, b["found"], before, starts, strict=True):
+            lines = bare(text)
             seen: dict[tuple[str, int], list[int]] = {}
-            for start, end, chunk in counted_chunks(text, min_lines):
-                seen.setdefault((chunk, end - start), []).append(start)
-            for (chunk, n), starts in seen.items():
+            for start, end in (ranges[at + np.unique(found)] - base).tolist():
+                seen.setdefault(("\n".join(lines[start:end]), end - start), []).append(start)
+            for (chunk, n), places in seen.items():
                 digest = hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                out.append((doc_id, version, digest, starts, n, chunk) if with_text else (doc_id, version, digest, starts, n))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in (CHUNKS if with_text else PLACES).split(", ")])
+                out.append((doc_id, version, digest, places, n, chunk))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+
+
+def _on_text(docs: DataFrame, found: DataFrame, id_col: str, text_col: str):
+    """The condition that joins what was found in a text to its row."""
+    return F.col(id_col).cast("long").eqNullSafe(found["__id"]) & (F.xxhash64(text_col) == found["__version"])
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """Per row with something to remove: ``doc_id, version, cuts`` (start and length of every chunk to remove)."""
+    """Per row with something to remove: ``doc_id, version, gone`` (the lines to remove, each once)."""
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    chunks = rows.mapInPandas(lambda b: _chunks(b, min_lines, True), CHUNKS).withColumn("doc_id", F.col("doc_id").cast("long"))
-    every = rows.mapInPandas(lambda b: _chunks(b, min_lines, False), PLACES).withColumn("doc_id", F.col("doc_id").cast("long"))
-    repeated = (
-        chunks.groupBy("digest", "chunk")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max(F.size("starts")).alias("own"))
+    hashes = rows.mapInPandas(lambda b: _hashes(b, min_lines), HASHES).select(F.col("doc_id").cast("long").alias("__id"), F.col("version").alias("__version"), F.posexplode("hashes").alias("k", "hash"))
+    again = hashes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("n > 1")
+    found = again.groupBy("__id", "__version").agg(F.collect_list("k").alias("found"))
+    texts = docs.join(found, _on_text(docs, found, id_col, text_col)).select(
+        F.col("__id").cast("string").alias("doc_id"), F.col("__version").alias("version"), F.col(text_col).alias("text"), "found"
+    )
+    chunks = texts.mapInPandas(lambda b: _chunks(b, min_lines), CHUNKS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    same = Window.partitionBy("digest", "chunk")
+    places = (
+        chunks.withColumns({"n": F.count(F.lit(1)).over(same), "first": F.min("doc_id").over(same), "own": F.max(F.size("starts")).over(same)})
         .where("n > 1 OR own > 1")
-        .select("digest", "first")
     )
-    places = every.join(repeated, "digest")
     later = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.slice("starts", 2, F.size("starts"))).otherwise(F.col("starts"))
-    cut = F.transform(later, lambda s: F.struct(s.alias("start"), F.col("n_lines").alias("n")))
+    lines = F.flatten(F.transform(later, lambda s: F.sequence(s, s + F.col("n_lines") - 1)))
     return (
-        places.select("doc_id", "version", cut.alias("cut")).where(F.size("cut") > 0)
-        .groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cuts"))
+        places.select("doc_id", "version", lines.alias("gone")).where(F.size("gone") > 0)
+        .groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, counts: bool = False) -> DataFrame:
     """``docs`` with repeated chunks cut from the text; with ``counts`` also ``n_lines`` and ``n_removed`` (long)."""
-    cuts = removals(docs, id_col, text_col, min_lines).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("cuts").alias("__cuts"))
-    joined = docs.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__version")), "left")
+    gone = removals(docs, id_col, text_col, min_lines).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
+    out = docs.join(gone, _on_text(docs, gone, id_col, text_col), "left")
     lines = F.split(F.col(text_col), _END_SPLIT)
-    gone = F.flatten(F.transform("__cuts", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut_lines(t, set(g)) for t, g in zip(text, gone, strict=True)], dtype=object)
 
-    out = joined.withColumn("__gone", gone)
     cut_from = F.when(F.col("__gone").isNotNull(), F.col(text_col))
     added = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")} if counts else {}
     names = [c for c in docs.columns if c not in added]

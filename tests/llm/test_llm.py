@@ -335,6 +335,39 @@ def test_chunks_resist_shifts():
     assert len(set.intersection(*parts)) >= 5
 
 
+def passages_left(spark, lines, words, shared, sep):
+    """Lines of random passages left in later copies, and all lines there; 40 passages, each in ``shared`` documents."""
+    rng = random.Random(5)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)) + "."
+    rows, passages = [], []
+    for p in range(40):
+        passages.append([sentence(rng.randint(*words)) for _ in range(lines)])
+        for k in range(shared):
+            own = [[sentence(rng.randint(5, 14)) for _ in range(rng.randint(2, 9))] for _ in range(2)]
+            rows.append((p * shared + k, sep.join(own[0] + passages[p] + own[1])))
+    got = dict(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    later = [(got[i], x) for i, _ in rows if i % shared for x in passages[i // shared]]
+    assert all(got[i] == t for i, t in rows if i % shared == 0)
+    return sum(x in t for t, x in later), len(later)
+
+
+@pytest.mark.parametrize("shared", [2, 3, 10])
+def test_shared_passages_go_to_their_edges(spark, shared):
+    for lines, sep in ((5, "\n"), (9, " ")):  # 55 and 99 words
+        left, whole = passages_left(spark, lines, (11, 11), shared, sep)
+        assert left == 0 and whole == 40 * (shared - 1) * lines
+    one = " ".join(f"w{i}" for i in range(60)) + "."
+    rows = [(i, f"Own {i} is here.\n{one}\nEnd {i} is here.") for i in range(shared)]
+    got = dict(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [one in got[i] for i in range(shared)] == [True] + [False] * (shared - 1)
+
+
+def test_hashes_of_chunks_depend_on_their_lines_alone():
+    texts = [line_dedup.split_lines(t) for t in ("a b.\nc d.\ne f.", "", "x\na b. c d.\ne f.")]
+    got = line_dedup.range_hashes(texts, np.array([[0, 2], [1, 3], [5, 7], [6, 8], [4, 6]]))
+    assert got[0] == got[2] and got[1] == got[3] and len(set(got.tolist())) == 3
+
+
 def brute_components(rows):
     fps = [(i, simhash_plain(t)) for i, t in rows]
     label = list(range(len(fps)))
