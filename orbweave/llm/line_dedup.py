@@ -2,9 +2,10 @@
 
 A line ends at a line feed or, inside a longer line, at the end of a sentence, so a passage set within
 running text has lines of its own. The chunks are all pairs of neighbouring lines (``MIN_LINES``, blank
-ones between them not counted). They overlap and depend on nothing but their own lines, so the chunks
-inside a shared run of lines cover it, to both of its edges, wherever it stands. A line of ``LONG_LINE``
-words is a chunk by itself. A chunk of fewer than
+ones between them not counted), from every line the shortest run of ``MIN_WORDS`` words or more, and to
+every line the shortest such run. They overlap and depend on nothing but their own lines, so the chunks
+inside a shared run of lines cover all of it, to both of its edges, wherever it stands; the least length
+is thereby that of the run. A line of ``LONG_LINE`` words is a chunk by itself. A chunk of fewer than
 ``MIN_WORDS`` words counts only across a line feed, so that stock phrases stay. Chunks that occur in several places are found by
 hash, compared byte for byte, line by line without their ends, and removed everywhere but at their first
 place (least id, then first line).
@@ -50,15 +51,18 @@ def split_lines(text: str) -> list[str]:
     return out
 
 
-def chunk_ranges(counts: np.ndarray, first: np.ndarray, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> np.ndarray:
+def chunk_ranges(counts: np.ndarray, first: np.ndarray, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> np.ndarray:
     """Half-open line ranges of the chunks, one a row, in order, of many texts at once: ``counts`` has the words of
     each line, ``first`` the place of the first line of the text that the line is in."""
     at = np.flatnonzero(counts)
+    total = np.concatenate([[0], np.cumsum(counts[at])])
     p = np.arange(len(at))
     pair = np.searchsorted(at, at + min_lines - 1)
+    onward = np.maximum(np.searchsorted(total, total[:-1] + min_words) - 1, pair)
+    back = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, np.searchsorted(at, at + 1 - min_lines, "right") - 1)
     own = p[counts[at] >= long_line]
-    start, end = np.concatenate([p, own]), np.concatenate([pair, own])
-    inside = end < len(at)
+    start, end = np.concatenate([p, p, back, own]), np.concatenate([pair, onward, p, own])
+    inside = (start >= 0) & (end < len(at))
     start, end = at[start[inside]], at[end[inside]]
     same = first[start] == first[end]
     return np.unique(np.stack([start[same], end[same] + 1], axis=1), axis=0) if len(at) else np.zeros((0, 2), dtype=np.int64)
@@ -76,7 +80,7 @@ def counted_ranges(texts: list[list[str]], min_lines: int = MIN_LINES, min_words
     starts = np.cumsum(sizes) - sizes
     counts = np.array([len(x.split()) for lines in texts for x in lines], dtype=np.int64)
     feeds = np.array([x[-1:] == "\n" for lines in texts for x in lines], dtype=np.int64)
-    ranges = chunk_ranges(counts, np.repeat(starts, sizes), min_lines)
+    ranges = chunk_ranges(counts, np.repeat(starts, sizes), min_lines, min_words)
     words, fed = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(feeds)])
     a, b = ranges[:, 0], ranges[:, 1]
     return ranges[(words[b] - words[a] >= min_words) | (fed[b - 1] > fed[a])], starts

@@ -362,6 +362,14 @@ def test_shared_passages_go_to_their_edges(spark, shared):
     assert [one in got[i] for i in range(shared)] == [True] + [False] * (shared - 1)
 
 
+@pytest.mark.parametrize("shared", [2, 10])
+def test_least_length_is_that_of_the_passage(spark, shared):
+    left, whole = passages_left(spark, 12, (4, 6), shared, " ")
+    assert left == 0 and whole == 40 * (shared - 1) * 12
+    short = [(i, f"Own {i} goes here and on. {'One two. Three four. ' if shared == 2 else 'One two three. Four. '}And end {i} of it.") for i in range(shared)]
+    assert line_dedup.dedup_lines(spark.createDataFrame(short, "doc_id long, text string")).where("text LIKE '%our.%'").count() == shared
+
+
 def test_hashes_of_chunks_depend_on_their_lines_alone():
     texts = [line_dedup.split_lines(t) for t in ("a b.\nc d.\ne f.", "", "x\na b. c d.\ne f.")]
     got = line_dedup.range_hashes(texts, np.array([[0, 2], [1, 3], [5, 7], [6, 8], [4, 6]]))
