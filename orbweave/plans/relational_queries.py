@@ -266,6 +266,16 @@ def lsh_band_pairs(spark, sf):
     return neighbours.bucket_pairs(_minhash(spark, sf), "doc_id", "key", 32)
 
 
+@query("SELECT key, a, doc_id AS b FROM (SELECT key, doc_id, min(doc_id) OVER (PARTITION BY key) AS a FROM v_key) WHERE a < doc_id", _MINHASH)
+def lsh_band_members(spark, sf):
+    return neighbours.bucket_members(_minhash(spark, sf), "doc_id", "key")
+
+
+@query("SELECT a, doc_id AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS a FROM documents WHERE text IS NOT NULL) WHERE a < doc_id")
+def exact_dup_members(spark, sf):
+    return neighbours.bucket_members(table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sig")), "doc_id", "sig").select("a", "b")
+
+
 _EXACT = "v_pair AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id)"
 
 
@@ -309,15 +319,24 @@ def knn_cosine_topk(spark, sf):
 _SIGS = "v_bits AS (SELECT vec_id, CAST(sum(CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END) AS HUGEINT) AS sig FROM embeddings, (SELECT unnest(range(1, 33)) AS i) GROUP BY 1)"
 
 
+def _signs(spark, sf):
+    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when((i < 32) & (x > 0), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return table(spark, sf, "embeddings").select("vec_id", bits.alias("sig"))
+
+
 @query("SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(CAST(a.sig AS BIGINT), CAST(b.sig AS BIGINT))) AS INTEGER) AS distance FROM v_bits a JOIN v_bits b ON a.vec_id < b.vec_id AND a.sig % 65536 = b.sig % 65536 WHERE a.sig % 65536 IN (SELECT sig % 65536 FROM v_bits GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200)", _SIGS)
 def hamming_pairs(spark, sf):
-    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when((i < 32) & (x > 0), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    s = table(spark, sf, "embeddings").select("vec_id", bits.alias("sig"))
+    s = _signs(spark, sf)
     p = neighbours.bucket_pairs(s.select("vec_id", F.col("sig").bitwiseAND(F.lit(65535)).alias("k")), "vec_id", "k", 200)
     one = lambda n: s.select(F.col("vec_id").alias(n), F.array("sig").alias("s" + n))
     return p.join(one("a"), "a").join(one("b"), "b").select("a", "b", neighbours.hamming(F.col("sa"), F.col("sb")).cast("int").alias("distance"))
 
 
+@query("SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(CAST(a.sig AS BIGINT), CAST(b.sig AS BIGINT))) AS INTEGER) AS distance FROM v_rep a JOIN v_rep b ON a.vec_id < b.vec_id AND (a.sig % 65536 = b.sig % 65536 OR a.sig // 65536 = b.sig // 65536) WHERE (a.vec_id = a.rep AND b.vec_id = b.rep) OR a.vec_id = b.rep", _SIGS + ", v_rep AS (SELECT vec_id, sig, min(vec_id) OVER (PARTITION BY sig) AS rep FROM v_bits)")
+def hamming_band_pairs(spark, sf):
+    return neighbours.banded_pairs(_signs(spark, sf), "vec_id", "sig", 32)
+
+
 @query("SELECT count(*) AS n, round(sum(l_quantity * 8 / 2024000.0 * 12), 6) AS relay_J, round(sum(l_quantity * 8 / 2530000.0 * 15), 6) AS direct_J, CAST(sum(ceil(l_quantity * 1000 / 4094) * 8 + l_quantity * 1000) AS BIGINT) AS packet_bytes, CAST(sum(ceil(l_quantity * 1000 / 1107) * 1279) AS BIGINT) AS on_air FROM lineitem")
 def energy_route(spark, sf):
     q = F.col("l_quantity")

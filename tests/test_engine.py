@@ -167,6 +167,14 @@ def test_signatures(spark):
     assert np.allclose(unit, [-math.sqrt(0.5), math.sqrt(0.5)])
 
 
+def test_large_buckets_and_every_band_keep_their_pairs(spark):
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("same").alias("sig"))
+    assert {(r.a, r.b) for r in neighbours.bucket_members(many, "doc_id", "sig").collect()} == {(0, i) for i in range(1, 300)}
+    sigs = [5] * 300 + [5 + (9 << 16), 7 + (9 << 16), 1 << 30]  # 300 copies, one that shares the low band, one the high band of the last
+    got = {(r.a, r.b): r.distance for r in neighbours.banded_pairs(spark.createDataFrame(list(enumerate(sigs)), "id long, sig long"), "id", "sig", 32).collect()}
+    assert got == {(0, i): 0 for i in range(1, 300)} | {(0, 300): 2, (300, 301): 1}
+
+
 def test_evidence_with_nan(spark):
     rows = [(1, 2, 0.95, 0.5, None), (1, 3, 0.95, float("nan"), 50), (1, 4, float("nan"), 0.9, 99), (1, 5, 0.8, 0.1, 10)]
     got = neighbours.accept(spark.createDataFrame(rows, "a long, b long, coarse double, detail double, inliers int")).collect()
