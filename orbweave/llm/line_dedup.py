@@ -112,9 +112,16 @@ def cut_lines(text: str, gone: set[int]) -> str:
     return "".join(out)
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Batches of few rows, so that a worker holds the lines of few texts."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.iloc[k : k + rows]
+
+
 def _hashes(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.DataFrame]:
     """The hashes of the chunks of each text, in their order."""
-    for b in batches:
+    for b in _slices(batches):
         texts = [[] if t is None else split_lines(t) for t in b["text"]]
         ranges, starts = counted_ranges(texts, min_lines)
         hashes = np.split(range_hashes(texts, ranges), np.searchsorted(ranges[:, 0], starts[1:]))
@@ -123,7 +130,7 @@ def _hashes(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.Data
 
 def _chunks(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.DataFrame]:
     """The chunks of each text at the places ``found``, equal ones together."""
-    for b in batches:
+    for b in _slices(batches):
         out = []
         texts = [split_lines(t) for t in b["text"]]
         ranges, starts = counted_ranges(texts, min_lines)
