@@ -32,7 +32,7 @@ def brier(scored: DataFrame) -> DataFrame:
 
 def platt(scored: DataFrame, rounds: int = 200, tol: float = 1e-10) -> tuple[float, float]:
     """Logistic calibration by Newton steps; each is one aggregate of five sums over all rows."""
-    a, b = 1.0, 0.0
+    a, b = 0.0, 0.0
     x = F.log(F.greatest(F.least(F.col("score"), F.lit(1 - 1e-6)), F.lit(1e-6)) / (1 - F.greatest(F.least(F.col("score"), F.lit(1 - 1e-6)), F.lit(1e-6))))
     points = scored.groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("double")).alias("y"))
     for _ in range(rounds):
@@ -51,6 +51,12 @@ def platt(scored: DataFrame, rounds: int = 200, tol: float = 1e-10) -> tuple[flo
     return a, b
 
 
+def apply_platt(scores: DataFrame, a: float, b: float) -> DataFrame:
+    """Every row with its calibrated score."""
+    p = F.greatest(F.least(F.col("score"), F.lit(1 - 1e-6)), F.lit(1e-6))
+    return scores.withColumn("calibrated", 1 / (1 + F.exp(-(F.lit(a) * F.log(p / (1 - p)) + F.lit(b)))))
+
+
 def isotonic(scored: DataFrame, resolution: int = 10_000) -> DataFrame:
     """Pool-adjacent-violators over scores rounded to ``1 / resolution``: the fit sees counts per step, a bounded table."""
     steps = scored.groupBy(F.round(F.col("score") * resolution).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("double")).alias("y"))

@@ -368,6 +368,12 @@ def platt_calibration(spark, sf):
     return spark.createDataFrame([(bool(a == a and b == b),)], "ok boolean")
 
 
+@query()
+def platt_scores(spark, sf):
+    c = v.calibration(spark, sf)
+    return statistics.apply_platt(c, *statistics.platt(c))
+
+
 @query()
 def isotonic_calibration(spark, sf):
     c = v.calibration(spark, sf)

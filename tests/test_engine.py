@@ -212,6 +212,16 @@ def test_calibration(spark):
     assert statistics.ece(statistics.ece_table(df)).first().ece < 0.05
 
 
+def test_platt_scores_equal_a_plain_fit(spark, sf):
+    got = registry.QUERIES["platt_scores"](spark, sf).collect()
+    p = np.clip([r.score for r in got], 1e-6, 1 - 1e-6)
+    x, y, w = np.stack([np.log(p / (1 - p)), np.ones(len(p))], 1), np.array([r.correct for r in got]), np.zeros(2)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-x @ w))
+        w = w + np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]), x.T @ (y - q))
+    assert len(got) > 10 and np.allclose([r.calibrated for r in got], 1 / (1 + np.exp(-x @ w)), atol=1e-6)
+
+
 def test_encoders(spark):
     ship = "struct<id:bigint,conf:double,px:double,dark:boolean>"
     rows = [(1, 0.0, "cloud", False, 0, 1, None, [(1, 0.9, 10.0, False)]), (2, 0.0, "ships", False, 0, 1, None, [(2, 0.9, 10.0, True), (3, 0.67, 10.0, False), (4, 0.1, 9.0, False)]), (3, 0.0, "coast", False, 12, 0, None, [(5, 0.1, 9.0, False)])]
