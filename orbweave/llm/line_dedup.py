@@ -1,44 +1,58 @@
-"""Operator 7, line dedup: content-defined chunks of lines, at every line.
+"""Operator 7, line dedup: content-defined line chunks, found by hash, grown and removed by byte comparison.
 
 A line ends at a line feed or, inside a longer line, at the end of a sentence, so a passage set within
-running text has lines of its own. The chunks are all pairs of neighbouring lines (``MIN_LINES``, blank
-ones between them not counted), from every line the shortest run of ``MIN_WORDS`` words or more, and to
-every line the shortest such run. They overlap and depend on nothing but their own lines, so the chunks
-inside a shared run of lines cover all of it, to both of its edges, wherever it stands; the least length
-is thereby that of the run. A line of ``LONG_LINE`` words is a chunk by itself. A chunk of fewer than
-``MIN_WORDS`` words counts only across a line feed, so that stock phrases stay. Chunks that occur in several places are found by
-hash, compared byte for byte, line by line without their ends, and removed everywhere but at their first
-place (least id, then first line).
-
-A line that is blank goes with the lines on both its sides; where a chunk with a line feed goes from the middle of
-a line, the line feed stays. Defined cases: null text stays null and has no lines; a text whose lines all
-go becomes empty, the row stays; rows repeated with the same id and text keep the same lines; of equal
-chunks under null ids none is first, all go if any id has it; empty tables give empty results; extra
-columns pass through ``dedup_lines``.
+running text has lines of its own.
+
+1. A rolling hash runs over the hashes of the lines: its window begins at a line and takes lines until it has
+   ``CHUNK_WORDS`` words. Where it is the least of ``NEAR`` neighbouring windows, a boundary stands and the
+   window is a chunk. Boundaries depend on the lines around them alone, so they move with the text, and every
+   shared run of ``NEAR`` windows holds a chunk that all its copies have.
+2. Chunks that occur at several places are found by hash. A batch sends one place of a chunk and keeps its
+   other places aside, so a passage that stands everywhere costs one row a batch. The first place is the least
+   by id, version (hash of the text) and line.
+3. Later places on one diagonal (same first text, same shift) make a run. The run asks for the lines of the first
+   text around it, in blocks of ``BLOCK`` lines, however many ask for them.
+4. Each text compares its own lines with those byte for byte, grows what is equal line by line and then word by
+   word in both directions, joins touching spans, and removes spans of ``MIN_WORDS`` words in two lines or more, or
+   of ``LONG_LINE`` words.
+
+Texts that ask or answer are picked from the table by a bitmap of ``BITMAP_BITS`` bits (exact joins follow), so
+the others are not shuffled. What is removed stands, byte for byte, at an earlier place of the table.
+
+Where a span with a line feed at its end goes from the middle of a line, the line feed stays. Defined cases:
+null text stays null; a text that goes entirely becomes empty, the row stays; rows repeated with the same id and
+text keep the same lines, as they are one place; rows with one id and different texts are ordered by the hash of
+the text; a null id comes before all others; very long texts are read whole; empty tables give empty results; extra
+columns, whatever their names, pass through ``dedup_lines``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_LINES = 2
-MIN_WORDS = 12
+from orbweave.llm.skew import salted_join, spare
+from orbweave.storage import materialize
+
+CHUNK_WORDS = 8
+NEAR = 2
+MIN_WORDS = 20
 LONG_LINE = 50
-#: Where lines end, as a match for Python and as a split for the JVM.
+#: Lines of a block, and lines that a run asks for beyond its own places on each side.
+BLOCK = 16
+REACH = 6
+BITMAP_BITS = 1 << 27
 _END = re.compile(r"[\n.!?](?:(?<=\n)| )")
-_END_SPLIT = r"(?<=\n)|(?<=[.!?] )"
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-HASHES = "doc_id string, version long, hashes array<long>"
-CHUNKS = "doc_id string, version long, digest binary, starts array<int>, n_lines int, chunk string"
+PLACES = "hash long, id long, version long, start int, more boolean, aside boolean"
 
 
 def split_lines(text: str) -> list[str]:
@@ -51,146 +65,229 @@ def split_lines(text: str) -> list[str]:
     return out
 
 
-def chunk_ranges(counts: np.ndarray, first: np.ndarray, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> np.ndarray:
-    """Half-open line ranges of the chunks, one a row, in order, of many texts at once: ``counts`` has the words of
-    each line, ``first`` the place of the first line of the text that the line is in."""
-    at = np.flatnonzero(counts)
-    total = np.concatenate([[0], np.cumsum(counts[at])])
-    p = np.arange(len(at))
-    pair = np.searchsorted(at, at + min_lines - 1)
-    onward = np.maximum(np.searchsorted(total, total[:-1] + min_words) - 1, pair)
-    back = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, np.searchsorted(at, at + 1 - min_lines, "right") - 1)
-    own = p[counts[at] >= long_line]
-    start, end = np.concatenate([p, p, back, own]), np.concatenate([pair, onward, p, own])
-    inside = (start >= 0) & (end < len(at))
-    start, end = at[start[inside]], at[end[inside]]
-    same = first[start] == first[end]
-    return np.unique(np.stack([start[same], end[same] + 1], axis=1), axis=0) if len(at) else np.zeros((0, 2), dtype=np.int64)
-
-
-def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
-    """The ranges of the chunks of one text."""
-    counts = np.array([len(x.split()) for x in lines], dtype=np.int64)
-    return [(int(a), int(b)) for a, b in chunk_ranges(counts, np.zeros(len(lines), dtype=np.int64))]
-
-
-def counted_ranges(texts: list[list[str]], min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Line ranges of the chunks that may be removed, over the lines of all texts, and where each text's lines start."""
+def chunk_starts(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the chunks of many texts: the number of the text, the first line in it, and the hash."""
     sizes = np.array([len(x) for x in texts], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    counts = np.array([len(x.split()) for lines in texts for x in lines], dtype=np.int64)
-    feeds = np.array([x[-1:] == "\n" for lines in texts for x in lines], dtype=np.int64)
-    ranges = chunk_ranges(counts, np.repeat(starts, sizes), min_lines, min_words)
-    words, fed = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(feeds)])
-    a, b = ranges[:, 0], ranges[:, 1]
-    return ranges[(words[b] - words[a] >= min_words) | (fed[b - 1] > fed[a])], starts
-
-
-def bare(lines: list[str]) -> list[str]:
-    """Lines without the line feed or space that ends them."""
-    return [x[:-1] for x in lines[:-1]] + lines[-1:]
-
-
-def range_hashes(texts: list[list[str]], ranges: np.ndarray) -> np.ndarray:
-    """64-bit hashes of line ranges from prefix sums: a polynomial in the XXH3 of the bare lines, the same at every place."""
-    lines = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for own in texts for x in bare(own)], dtype=np.uint64)
+    ends = np.cumsum(sizes)
+    lines = [x for own in texts for x in own]
+    counts = np.array([len(x.split()) for x in lines], dtype=np.int64)
+    own = np.repeat(np.arange(len(texts)), sizes)
+    total = np.concatenate([[0], np.cumsum(counts)])
+    start = np.flatnonzero(counts)
+    stop = np.searchsorted(total, total[start] + CHUNK_WORDS)
+    whole = stop <= ends[own[start]]
+    start, stop = start[whole], stop[whole]
+    digest = np.array([xxhash.xxh3_64_intdigest(x.rstrip(" \n").encode("utf-8", "surrogatepass")) for x in lines], dtype=np.uint64)
     power = lambda m: np.multiply.accumulate(np.array([1] + [m] * len(lines), dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(lines * power(_MULTIPLIER)[:-1], dtype=np.uint64)])
-    return ((sums[ranges[:, 1]] - sums[ranges[:, 0]]) * power(_INVERSE)[ranges[:, 0]]).view(np.int64)
-
-
-def cut_lines(text: str, gone: set[int]) -> str:
-    """``text`` without the lines of these places."""
-    lines, out = split_lines(text), []
-    for i, line in enumerate(lines):
-        if i not in gone:
-            out.append(line)
-        elif line.endswith("\n") and out:
-            out[-1] = out[-1][:-1] + "\n"
-    if out and len(lines) - 1 in gone:
-        out[-1] = out[-1][:-1]
-    return "".join(out)
-
-
-def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """Batches of few rows, so that a worker holds the lines of few texts."""
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(digest * power(_MULTIPLIER)[:-1], dtype=np.uint64)])
+    rolled = (sums[stop] - sums[start]) * power(_INVERSE)[start]
+    rolled = (rolled ^ (rolled >> np.uint64(32))) * np.uint64(_MULTIPLIER)
+    far = np.uint64((1 << 64) - 1)
+    text = own[start]
+
+    def beside(step: int) -> np.ndarray:
+        """The hash ``step`` windows on, or the largest number outside the text."""
+        out = np.full(len(rolled), far)
+        if abs(step) < len(rolled):
+            here, there = (slice(None, -step), slice(step, None)) if step > 0 else (slice(-step, None), slice(None, step))
+            out[here] = np.where(text[here] == text[there], rolled[there], far)
+        return out
+
+    near = {step: beside(step) for step in range(1 - NEAR, NEAR) if step}
+    least = np.zeros(len(rolled), dtype=bool)
+    for low in range(1 - NEAR, 1):
+        least |= np.logical_and.reduce([rolled <= near[step] for step in range(low, low + NEAR) if step])
+    return text[least], start[least] - (ends - sizes)[text[least]], rolled[least].view(np.int64)
+
+
+def _places(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The chunks of each batch of texts: of equal ones the first place, and the others aside."""
     for b in batches:
-        for k in range(0, len(b), rows):
-            yield b.iloc[k : k + rows]
-
-
-def _hashes(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.DataFrame]:
-    """The hashes of the chunks of each text, in their order."""
-    for b in _slices(batches):
-        texts = [[] if t is None else split_lines(t) for t in b["text"]]
-        ranges, starts = counted_ranges(texts, min_lines)
-        hashes = np.split(range_hashes(texts, ranges), np.searchsorted(ranges[:, 0], starts[1:]))
-        yield pd.DataFrame({"doc_id": b["doc_id"], "version": b["version"], "hashes": hashes[: len(b)]})
-
-
-def _chunks(batches: Iterator[pd.DataFrame], min_lines: int) -> Iterator[pd.DataFrame]:
-    """The chunks of each text at the places ``found``, equal ones together."""
-    for b in _slices(batches):
+        texts, parts = b.column("text"), []
+        for at in range(0, len(b), rows):
+            own = [[] if t is None else split_lines(t) for t in texts.slice(at, rows).to_pylist()]
+            if any(own):
+                text, start, digest = chunk_starts(own)
+                parts.append((text + at, start, digest))
+        if not parts:
+            continue
+        text, start, digest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, versions = b.column("id"), b.column("version").to_numpy(zero_copy_only=False)
+        known = np.asarray(ids.is_valid())
+        number = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        _, rank = np.unique(np.stack([known.astype(np.int64), number, versions], axis=1), axis=0, return_inverse=True)
+        order = np.lexsort((start, rank.reshape(-1)[text], digest))
+        text, start, digest = text[order], start[order], digest[order]
+        first = np.concatenate([[True], digest[1:] != digest[:-1]]) if len(digest) else np.zeros(0, dtype=bool)
+        more = np.concatenate([~first[1:], [False]]) & first if len(digest) else first
+        take = pa.array(text)
+        columns = [pa.array(digest), ids.take(take), b.column("version").take(take), pa.array(start.astype(np.int32)), pa.array(more), pa.array(~first)]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PLACES.split(", ")])
+
+
+def later_places(rows: DataFrame) -> DataFrame:
+    """``id, version, start`` of every place of a chunk but the first, with the first (``oid, over, ostart``). ``rows``: id, version, text."""
+    places = materialize(rows.mapInArrow(_places, PLACES), "chunk-places")
+    place, one = F.struct("id", "version", "start"), Window.partitionBy("hash")
+    met = places.where("NOT aside").withColumns({"n": F.count(F.lit(1)).over(one), "some": F.max("more").over(one), "first": F.min(place).over(one)}).where("n > 1 OR some")
+    met = materialize(met.select("hash", "id", "version", "start", "first"), "repeated-chunks")
+    firsts = met.groupBy("hash").agg(F.first("first").alias("first"))
+    aside = salted_join(places.where("aside").select("hash", "id", "version", "start"), firsts, ["hash"])
+    both = met.unionByName(aside.select("hash", "id", "version", "start", "first")).where(~place.eqNullSafe(F.col("first")))
+    return both.select("id", "version", "start", F.col("first.id").alias("oid"), F.col("first.version").alias("over"), F.col("first.start").alias("ostart"))
+
+
+def asked_blocks(later: DataFrame) -> DataFrame:
+    """``id, version, oid, over, shift, block``: the blocks of first texts that each text compares itself with."""
+    own = later.withColumn("shift", F.col("start") - F.col("ostart"))
+    low, high = F.greatest(F.col("ostart") - REACH, F.lit(0)), F.col("ostart") + REACH
+    blocks = F.sequence(F.floor(low / BLOCK).cast("int"), F.floor(high / BLOCK).cast("int"))
+    return own.select("id", "version", "oid", "over", "shift", F.explode(blocks).alias("block")).distinct()
+
+
+def bitmap(keys: DataFrame, *names: str) -> DataFrame:
+    """``part, bits``: a bitmap of the rows' hashes, in parts of 32,768 bits; its size is bounded whatever the rows."""
+    bit = F.pmod(F.xxhash64(*names), F.lit(BITMAP_BITS))
+    return keys.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def marked(docs: DataFrame, key: Column, bits: DataFrame, flag: str) -> DataFrame:
+    """``docs`` with the Boolean column ``flag``: whether the bitmap has the row's hash."""
+    bit = F.pmod(key, F.lit(BITMAP_BITS))
+    part, mask = spare(docs, "part"), spare(docs, "mask")
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col(mask), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    have = F.coalesce(F.call_function("getbit", byte, (place % 8).cast("int")) == 1, F.lit(False))
+    small = F.broadcast(bits.select(F.col("part").alias(part), F.col("bits").alias(mask)))
+    return docs.withColumn(part, F.bitmap_bucket_number(bit)).join(small, part, "left").withColumn(flag, have).drop(part, mask)
+
+
+def _words_back(a: str, b: str) -> int:
+    """Length of the common end of two lines, in whole words."""
+    n = 0
+    for x, y in zip(reversed(a), reversed(b)):  # noqa: B905
+        if x != y:
+            break
+        n += 1
+    while n and n < len(a) and not a[-n - 1].isspace() or n and n < len(b) and not b[-n - 1].isspace():
+        n -= 1
+    return n if a[len(a) - n :].strip() else 0
+
+
+def _words_on(a: str, b: str) -> int:
+    """Length of the common start of two lines, in whole words."""
+    n = 0
+    for x, y in zip(a, b):  # noqa: B905
+        if x != y:
+            break
+        n += 1
+    while n and n < len(a) and not a[n].isspace() or n and n < len(b) and not b[n].isspace():
+        n -= 1
+    return n if a[:n].strip() else 0
+
+
+def equal_spans(lines: list[str], starts: list[int], blocks: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Character spans of a text that equal a first text: ``blocks`` are shift, number and text of its blocks, in order."""
+    spans = []
+    for shift in dict.fromkeys(b[0] for b in blocks):
+        theirs: dict[int, str] = {}
+        for _, number, body in (b for b in blocks if b[0] == shift):
+            theirs |= {number * BLOCK + i + shift: x for i, x in enumerate(split_lines(body)[:BLOCK])}
+        same = lambda i: 0 <= i < len(lines) and i in theirs and lines[i].rstrip(" \n") == theirs[i].rstrip(" \n")  # noqa: B023, E731
+        at = sorted(theirs)
+        k = 0
+        while k < len(at):
+            a = at[k]
+            if not same(a):
+                k += 1
+                continue
+            b = a
+            while same(b):
+                b += 1
+            low, high = starts[a], starts[b]
+            if a and a - 1 in theirs:
+                low -= _words_back(lines[a - 1], theirs[a - 1])
+            if b < len(lines) and b in theirs:
+                high += _words_on(lines[b], theirs[b])
+            spans.append((low, high))
+            while k < len(at) and at[k] <= b:
+                k += 1
+    return spans
+
+
+def cut_spans(text: str, starts: list[int], spans: list[tuple[int, int]]) -> str:
+    """``text`` without the joined spans that are long enough."""
+    joined: list[list[int]] = []
+    for low, high in sorted(spans):
+        if joined and not text[joined[-1][1] : low].strip():
+            joined[-1][1] = max(joined[-1][1], high)
+        else:
+            joined.append([low, high])
+    out, at = [], 0
+    for low, high in joined:
+        words = len(text[low:high].split())
+        several = np.searchsorted(starts, high, "left") - np.searchsorted(starts, low, "right") + 1 >= 2
+        if words < MIN_WORDS or not (several or words >= LONG_LINE):
+            continue
+        part = text[at:low]
+        if text[high - 1 : high] == "\n" and part and not part.endswith("\n"):
+            part = part.rstrip(" ") + "\n"
+        out.append(part)
+        at = high
+    return "".join([*out, text[at:]])
+
+
+def without_copies(text: str, given) -> str:
+    """What is left of a text, given the blocks of first texts: structs of oid, over, shift, block and body."""
+    lines = split_lines(text)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).tolist()
+    groups: dict[tuple, list] = {}
+    for g in given:
+        groups.setdefault((g["oid"], g["over"]), []).append((g["shift"], g["block"], g["body"]))
+    spans = [s for own in groups.values() for s in equal_spans(lines, starts, sorted(own))]
+    return cut_spans(text, starts[:-1], spans)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut from the text; other columns unchanged."""
+    id_, version = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    asked = materialize(asked_blocks(later_places(docs.select(id_.alias("id"), version.alias("version"), F.col(text_col).alias("text")))), "asked-blocks")
+    flag, own_id, own_version, given = (spare(docs, n) for n in ("flag", "id", "version", "given"))
+
+    wanted = asked.select("oid", "over", "block").distinct().groupBy("oid", "over").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    wanted = materialize(wanted, "wanted-blocks")
+
+    @F.pandas_udf("array<struct<block:int,body:string>>")
+    def bodies(text: pd.Series, blocks: pd.Series) -> pd.Series:
         out = []
-        texts = [split_lines(t) for t in b["text"]]
-        ranges, starts = counted_ranges(texts, min_lines)
-        before = np.searchsorted(ranges[:, 0], starts)
-        for doc_id, version, text, found, at, base in zip(b["doc_id"], b["version"], texts, b["found"], before, starts, strict=True):
-            lines = bare(text)
-            seen: dict[tuple[str, int], list[int]] = {}
-            for start, end in (ranges[at + np.unique(found)] - base).tolist():
-                seen.setdefault(("\n".join(lines[start:end]), end - start), []).append(start)
-            for (chunk, n), places in seen.items():
-                digest = hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                out.append((doc_id, version, digest, places, n, chunk))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
-
-
-def _on_text(docs: DataFrame, found: DataFrame, id_col: str, text_col: str):
-    """The condition that joins what was found in a text to its row."""
-    return F.col(id_col).cast("long").eqNullSafe(found["__id"]) & (F.xxhash64(text_col) == found["__version"])
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """Per row with something to remove: ``doc_id, version, gone`` (the lines to remove, each once)."""
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    hashes = rows.mapInPandas(lambda b: _hashes(b, min_lines), HASHES).select(F.col("doc_id").cast("long").alias("__id"), F.col("version").alias("__version"), F.posexplode("hashes").alias("k", "hash"))
-    again = hashes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("n > 1")
-    found = again.groupBy("__id", "__version").agg(F.collect_list("k").alias("found"))
-    texts = docs.join(found, _on_text(docs, found, id_col, text_col)).select(
-        F.col("__id").cast("string").alias("doc_id"), F.col("__version").alias("version"), F.col(text_col).alias("text"), "found"
-    )
-    chunks = texts.mapInPandas(lambda b: _chunks(b, min_lines), CHUNKS).withColumn("doc_id", F.col("doc_id").cast("long"))
-    same = Window.partitionBy("digest", "chunk")
-    places = (
-        chunks.withColumns({"n": F.count(F.lit(1)).over(same), "first": F.min("doc_id").over(same), "own": F.max(F.size("starts")).over(same)})
-        .where("n > 1 OR own > 1")
-    )
-    later = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.slice("starts", 2, F.size("starts"))).otherwise(F.col("starts"))
-    lines = F.flatten(F.transform(later, lambda s: F.sequence(s, s + F.col("n_lines") - 1)))
-    return (
-        places.select("doc_id", "version", lines.alias("gone")).where(F.size("gone") > 0)
-        .groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    )
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, counts: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks cut from the text; with ``counts`` also ``n_lines`` and ``n_removed`` (long)."""
-    gone = removals(docs, id_col, text_col, min_lines).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
-    out = docs.join(gone, _on_text(docs, gone, id_col, text_col), "left")
-    lines = F.split(F.col(text_col), _END_SPLIT)
+        for t, own in zip(text, blocks, strict=True):
+            lines = split_lines(t)
+            out.append([{"block": int(k), "body": "".join(lines[k * BLOCK : (k + 1) * BLOCK])} for k in own])
+        return pd.Series(out, dtype=object)
+
+    narrow = docs.select(id_.alias("aid"), version.alias("aver"), F.col(text_col).alias("text"))
+    sources = marked(narrow, F.xxhash64("aid", "aver"), bitmap(wanted, "oid", "over"), "flag").where("flag").join(wanted, F.expr("aid <=> oid AND aver = over"))
+    answers = sources.select("aid", "aver", F.explode(bodies("text", "blocks")).alias("b")).select("aid", "aver", "b.block", "b.body").dropDuplicates(["aid", "aver", "block"])
+    key = lambda *names: F.struct(F.coalesce(F.col(names[0]).cast("string"), F.lit("")).alias("i"), F.col(names[1]).alias("v"), F.col(names[2]).alias("b")).alias("key")
+    answers = materialize(answers.select(key("aid", "aver", "block"), "body"), "answered-blocks")
+    met = salted_join(asked.select("*", key("oid", "over", "block")), answers, ["key"])
+    grouped = met.groupBy("id", "version").agg(F.collect_list(F.struct("oid", "over", "shift", "block", "body")).alias(given))
+    grouped = grouped.select(F.col("id").alias(own_id), F.col("version").alias(own_version), given)
 
     @F.pandas_udf("string")
-    def kept(text: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else cut_lines(t, set(g)) for t, g in zip(text, gone, strict=True)], dtype=object)
+    def left_over(text: pd.Series, blocks: pd.Series) -> pd.Series:
+        return pd.Series([without_copies(t, b) for t, b in zip(text, blocks, strict=True)], dtype=object)
 
-    cut_from = F.when(F.col("__gone").isNotNull(), F.col(text_col))
-    added = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")} if counts else {}
-    names = [c for c in docs.columns if c not in added]
-    return out.withColumns(added | {text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept(cut_from, F.col("__gone")))}).select(*names, *added)
+    split = marked(docs, F.xxhash64(id_, version), bitmap(asked, "id", "version"), flag)
+    on = id_.eqNullSafe(F.col(own_id)) & (version == F.col(own_version))
+    maybe = split.where(flag).join(grouped, on, "left")
+    given_text = F.when(F.col(given).isNotNull(), F.col(text_col))
+    cut = maybe.withColumn(text_col, F.when(F.col(given).isNull(), F.col(text_col)).otherwise(left_over(F.coalesce(given_text, F.lit("")), F.coalesce(given, F.array().cast(grouped.schema[given].dataType)))))
+    return split.where(~F.col(flag)).select(*docs.columns).unionAll(cut.select(*docs.columns))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Query: what line dedup leaves of every document: ``doc_id, n_lines, n_removed, text``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
+    """Query: what line dedup leaves of every document: ``doc_id, n_lines`` (by line feeds), ``n_removed`` (characters), ``text``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.length("text").alias("size"), F.length(F.translate("text", "\n", "")).alias("bare"))
+    lines, gone = F.col("size") - F.col("bare") + 1, F.col("size") - F.length("text")
+    return dedup_lines(docs).select("doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), "text")
