@@ -100,26 +100,36 @@ def chunk_starts(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return text[least], start[least] - (ends - sizes)[text[least]], rolled[least].view(np.int64)
 
 
-def _places(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The chunks of each batch of texts: of equal ones the first place, and the others aside."""
-    for b in batches:
-        texts, parts = b.column("text"), []
-        for at in range(0, len(b), rows):
-            own = [[] if t is None else split_lines(t) for t in texts.slice(at, rows).to_pylist()]
-            if any(own):
-                text, start, digest = chunk_starts(own)
+def _parts(b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``size`` bytes of text, so that a worker holds the lines of few texts."""
+    total = np.cumsum(b.column("text").fill_null("").cast(pa.large_binary()).to_pandas().str.len().to_numpy(dtype=np.int64))
+    at = 0
+    while at < len(b):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+        yield b.slice(at, stop - at)
+        at = stop
+
+
+def _places(batches: Iterator[pa.RecordBatch], size: int = 4 << 20, at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The chunks of each part of a batch: of equal ones the first place, and the others aside."""
+    for b in (part for whole in batches for part in _parts(whole, size)):
+        parts, at = [], 0
+        for own in _parts(b, at_once):
+            lines = [[] if t is None else split_lines(t) for t in own.column("text").to_pylist()]
+            if any(lines):
+                text, start, digest = chunk_starts(lines)
                 parts.append((text + at, start, digest))
+            at += len(own)
         if not parts:
             continue
         text, start, digest = (np.concatenate(x) for x in zip(*parts, strict=True))
         ids, versions = b.column("id"), b.column("version").to_numpy(zero_copy_only=False)
-        known = np.asarray(ids.is_valid())
-        number = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        _, rank = np.unique(np.stack([known.astype(np.int64), number, versions], axis=1), axis=0, return_inverse=True)
+        known, number = np.asarray(ids.is_valid(), dtype=np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        _, rank = np.unique(np.stack([known, number, versions], axis=1), axis=0, return_inverse=True)
         order = np.lexsort((start, rank.reshape(-1)[text], digest))
         text, start, digest = text[order], start[order], digest[order]
-        first = np.concatenate([[True], digest[1:] != digest[:-1]]) if len(digest) else np.zeros(0, dtype=bool)
-        more = np.concatenate([~first[1:], [False]]) & first if len(digest) else first
+        first = np.concatenate([[True], digest[1:] != digest[:-1]])[: len(digest)]
+        more = first & np.concatenate([~first[1:], [False]])[: len(digest)]
         take = pa.array(text)
         columns = [pa.array(digest), ids.take(take), b.column("version").take(take), pa.array(start.astype(np.int32)), pa.array(more), pa.array(~first)]
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PLACES.split(", ")])
@@ -127,7 +137,7 @@ def _places(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
 
 def later_places(rows: DataFrame) -> DataFrame:
     """``id, version, start`` of every place of a chunk but the first, with the first (``oid, over, ostart``). ``rows``: id, version, text."""
-    places = materialize(rows.mapInArrow(_places, PLACES), "chunk-places")
+    places = materialize(rows.mapInArrow(_places, PLACES), "chunk-places", by=("aside",))
     place, one = F.struct("id", "version", "start"), Window.partitionBy("hash")
     met = places.where("NOT aside").withColumns({"n": F.count(F.lit(1)).over(one), "some": F.max("more").over(one), "first": F.min(place).over(one)}).where("n > 1 OR some")
     met = materialize(met.select("hash", "id", "version", "start", "first"), "repeated-chunks")
