@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from orbweave.llm.skew import salted_join, spare
 from orbweave.storage import materialize
 
-CHUNK_WORDS = 8
+CHUNK_WORDS = 12
 NEAR = 2
 MIN_WORDS = 20
 LONG_LINE = 50

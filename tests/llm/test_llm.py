@@ -75,9 +75,41 @@ def test_quality_edges(spark, docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
 
 
+def test_quality_compares_words_where_hashes_meet(spark, monkeypatch):
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *cols: F.lit(7).cast("long"))
+    text = "a b c d e f a b c x y"
+    made = quality.covered_words(quality.words(F.lit(text)), quality.windows(quality.words(F.lit(text))))
+    monkeypatch.undo()
+    assert spark.range(1).select(made).first()[0] == brute_quality(text)[4] == 6
+
+
 def test_quality_order_follows_rejection_per_cost(spark):
-    junk = spark.createDataFrame([("### $$$ " * 40,)] * 50, "text string")
-    assert {r.name for r in quality.plan_cascade(junk)} == {r.name for r in quality.RULES}
+    """A cheap rule that rejects much comes before a costly one that rejects more, and after that one if it rejects next to nothing."""
+    rows = spark.createDataFrame([(f"{'x' if i % 2 else 'y'} word{i} " + " ".join(f"w{i * k % 977}" for k in range(3000)),) for i in range(200)], "text string")
+    slow = quality.Rule("slow", ("n_repeat_words",), lambda n: n >= 0)
+    cheap = quality.Rule("cheap", ("text",), lambda t: t.startswith("x"))
+    idle = quality.Rule("idle", ("text",), lambda t: t.startswith("never"))
+    for listed in ((slow, cheap, idle), (idle, cheap, slow)):
+        assert [r.name for r in quality.plan_cascade(rows, "text", listed)][0] == "cheap"
+    measured = quality.measure(quality.draw_sample(rows, "text", 400), (slow, cheap, idle))
+    assert measured["slow"][0] > 3 * measured["cheap"][0] and measured["slow"][1] > measured["cheap"][1] > 0.3 > measured["idle"][1]
+    assert [r.name for r in quality.rank((slow, idle), {"slow": (1.0, 0.9), "idle": (0.5, 0.01)})] == ["slow", "idle"]
+
+
+def test_quality_later_rules_are_not_evaluated_for_rejected_rows(spark):
+    """The second rule would fail on the first row, which the first rule rejects; in the other order it does fail."""
+    rows = spark.createDataFrame([("bad",), ("5",)], "text string")
+    short = quality.Rule("short", ("text",), lambda t: t == "bad")
+    strict = quality.Rule("strict", ("number",), lambda n: n > 7)
+    values = quality.VALUES
+    values["number"] = (("text",), lambda t: F.when(t == "bad", F.raise_error(F.lit("evaluated"))).otherwise(t.cast("int")))
+    try:
+        known = {"text": F.col("text")}
+        assert [r.text for r in rows.where(quality.verdict([short, strict], known)).collect()] == ["5"]
+        with pytest.raises(Exception, match="evaluated"):
+            rows.where(quality.verdict([strict, short], known)).collect()
+    finally:
+        del values["number"]
 
 
 def test_toxicity_learns_pairs():
@@ -184,24 +216,60 @@ def test_redaction(spark, docs):
     assert "hunter22" not in out[16] and "AKIA" not in out[16] and out[0] is None and out[13] == LONG
 
 
-def test_exact_dedup_edges(spark, docs):
-    got = exact_dedup.exact_dedup(docs, bucket_keys=2).collect()
+def brute_exact(rows):
     norm = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
     groups = {}
-    for r in docs.collect():
-        groups.setdefault(norm(r.text), []).append(r.doc_id)
+    for i, t in rows:
+        groups.setdefault(norm(t), []).append(i)
     want = []
     for t, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
         want += [str((i, keep, len(ids), i == keep, sha(t))) for i in ids]
-    assert sorted(str(tuple(r)) for r in got) == sorted(want)
+    return sorted(want)
+
+
+def as_keys(spark, keys):
+    return spark.createDataFrame([(simhash.signed(k),) for k in keys], "key long")
+
+
+def test_exact_dedup_edges(spark, docs):
+    want = brute_exact([(r.doc_id, r.text) for r in docs.collect()])
+    for args in ({}, {"bucket_keys": 1, "page_bits": 2}, {"bucket_keys": 2, "page_bits": 64}, {"key_of": lambda b: F.pmod(F.xxhash64(b), F.lit(3).cast("long")), "bucket_keys": 1}):
+        assert sorted(str(tuple(r)) for r in exact_dedup.exact_dedup(docs, **args).collect()) == want
     assert exact_dedup.exact_dedup(empty(docs)).count() == 0
 
 
-def test_directory_splits_only_overfull_buckets():
-    directory = exact_dedup.build_directory({0: 10, 1: 10, 2: 1, 3: 1, 6: 1}, 10, 3)
-    assert directory[0] != directory[1] and directory[2] == directory[3] and len(set(directory[4:])) == 1
-    assert directory == sorted(directory)
+def test_a_group_with_most_of_the_rows_is_dealt_to_several_owners(spark):
+    rows = [(i, "Same text" if i % 3 else f"own {i}") for i in range(3000)] + [(9999, "SAME text")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute_exact(rows)
+
+
+def test_directory_splits_overfull_buckets_alone_and_doubles_as_far_as_they_need(spark):
+    rng = random.Random(6)
+    keys = {rng.getrandbits(64) for _ in range(40)} | {(5 << 61) + k for k in range(3)} | {(1 << 63) + (1 << 40) + k for k in range(12)}
+    pages = exact_dedup.build_directory(as_keys(spark, keys), bucket_keys=4, page_bits=3)
+    assert len(pages) > 5 and pages[-1][0] >= 62  # keys that differ in their last bits alone
+    entries = [(depth, e.cell, e.local_depth, e.bucket % (1 << 64)) for depth, page, _ in pages for e in page.collect()]
+    buckets = {}
+    for depth, cell, local, low in entries:
+        assert low >> (64 - depth) == cell >> (depth - local) << (depth - local) if local else low == 0
+        buckets[low] = local
+    held = {low: [k for k in keys if local == 0 or k >> (64 - local) == low >> (64 - local)] for low, local in buckets.items()}
+    assert sorted(k for own in held.values() for k in own) == sorted(keys) and all(0 < len(own) <= 4 for own in held.values())
+    for low, local in buckets.items():  # the range twice as wide would not fit, or no directory of one bucket less would do
+        assert local == 0 or sum(k >> (65 - local) == low >> (65 - local) for k in keys) > 4
+    got = exact_dedup.look_up(as_keys(spark, keys), pages).collect()
+    assert {r.key % (1 << 64): r.bucket % (1 << 64) for r in got} == {k: low for low, own in held.items() for k in own}
+    assert exact_dedup.build_directory(as_keys(spark, [1, 2, 3]), 4)[0][1].collect()[0].local_depth == 0
+
+
+def test_rows_are_found_through_the_directory_alone(spark, docs, monkeypatch):
+    whole = exact_dedup.build_directory
+    monkeypatch.setattr(exact_dedup, "build_directory", lambda *a, **k: [(d, page.where("false"), 0) for d, page, _ in whole(*a, **k)])
+    assert exact_dedup.exact_dedup(docs).count() == 0
+    monkeypatch.setattr(exact_dedup, "build_directory", lambda *a, **k: [(d, page.withColumn("bucket", F.col("bucket") * 0), n) for d, page, n in whole(*a, **k)])
+    assert exact_dedup.exact_dedup(docs, bucket_keys=1).count() == docs.count()
 
 
 def brute_pieces(text, capacity=1024):
@@ -268,7 +336,7 @@ def plain_lines(text):
     return [*out, line]
 
 
-def plain_chunks(text, near=2, least=8):
+def plain_chunks(text, near=2, least=12):
     """First lines and hashes of the chunks: one window after the other, each hash summed up anew."""
     lines, two64, m = plain_lines(text), 1 << 64, 0x9E3779B97F4A7C15
     rolled = []
