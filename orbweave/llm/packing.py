@@ -4,11 +4,13 @@ Workers turn each document into token ids and cut only documents longer than ``c
 piece takes the remainder). What a piece needs to be placed is its length alone, so the packing runs
 on the histogram of lengths, of at most ``capacity`` rows whatever the corpus holds: lengths fall, and
 the tree finds the least remaining capacity that still takes the length, in logarithmic time. Equal
-bins are kept as runs, so the state is bounded too. Pieces are then numbered within their length, by
-salted counts, and take the slot of their number.
+bins are kept as runs, so the state is bounded too. Pieces are then numbered within their length and take the slot
+of their number: a piece's place in its written part deals the pieces of one length, however alike, evenly to salts
+of about ``SALT_ROWS``, and the numbers go on from one salt to the next.
 
 Defined cases: null or empty text is one piece holding the end token alone; repeated rows each get a
-place of their own; null ids are kept; an empty table gives an empty result; extra columns are ignored.
+place of their own; null ids are kept; which of several pieces of one length takes which slot is free; very long
+texts are cut to pieces whole, none is dropped; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from orbweave.storage import materialize
 
 CAPACITY = 1024
 END_ID = 2
-SALT_ROWS = 20_000
+#: Pieces of one length that are numbered by one task, at the least; beyond ``1 << 16`` salts in all, more.
+SALT_ROWS = 256
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
@@ -118,18 +121,19 @@ def pack(docs: DataFrame, path: str, ranks: str, id_col: str = "doc_id", text_co
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = rows.mapInPandas(lambda b: _pieces(b, path, ranks, capacity, end_id), PIECES)
-    pieces = materialize(pieces.withColumn("doc_id", F.col("doc_id").cast("long")), "pieces")
+    pieces = materialize(pieces.withColumns({"doc_id": F.col("doc_id").cast("long"), "place": F.monotonically_increasing_id()}), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = best_fit_decreasing(histogram, capacity)
     tables = {n: np.array(runs, dtype=np.int64).T for n, runs in slots.items()}
-    salts = max(1, sum(histogram.values()) // SALT_ROWS)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    spread = max(SALT_ROWS, sum(histogram.values()) >> 16)
+    salts = F.array(*[F.lit(max(1, -(-histogram.get(n, 0) // spread))) for n in range(capacity + 1)])
+    salted = pieces.withColumn("salt", F.pmod(F.col("place"), F.get(salts, F.col("length").cast("int")).cast("long")))
     before = (
         salted.groupBy("length", "salt").count()
         .withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
         .select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     )
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("place")
     numbered = salted.withColumn("number", F.row_number().over(within)).join(before, ["length", "salt"]).select(
         *[c.split()[0] for c in PIECES.split(", ")], (F.col("number") + F.col("before") - 1).alias("number")
     )
