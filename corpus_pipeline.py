@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import line_dedup, packing, quality, secrets, simhash, textio
-from orbweave.storage import materialize, shared_path
+from orbweave.storage import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays, with its length counted anew."""
-    out = secrets.redact_secrets(docs, shared_path(spark, "blob-ledger"))
+    out = secrets.redact_secrets(docs, secrets.ledger_of(spark))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
