@@ -196,35 +196,28 @@ def _words_on(a: str, b: str) -> int:
     return n if a[:n].strip() else 0
 
 
-def equal_spans(lines: list[str], starts: list[int], blocks: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Character spans of a text that equal a first text: ``blocks`` are shift, number and text of its blocks, in order."""
-    spans = []
-    for shift in dict.fromkeys(b[0] for b in blocks):
-        theirs: dict[int, str] = {}
-        for _, number, body in (b for b in blocks if b[0] == shift):
-            theirs |= {number * BLOCK + i + shift: x for i, x in enumerate(split_lines(body)[:BLOCK])}
-        same = lambda i: 0 <= i < len(lines) and i in theirs and lines[i].rstrip(" \n") == theirs[i].rstrip(" \n")  # noqa: B023, E731
-        at = sorted(theirs)
-        k = 0
-        while k < len(at):
-            a = at[k]
-            if not same(a):
-                k += 1
-                continue
-            b = a
-            while same(b):
-                b += 1
-            low, high = starts[a], starts[b]
-            if a and a - 1 in theirs:
-                low -= _words_back(lines[a - 1], theirs[a - 1])
-            if b < len(lines) and b in theirs:
-                high += _words_on(lines[b], theirs[b])
-            spans.append((low, high))
-            while k < len(at) and at[k] <= b:
-                k += 1
+def equal_spans(lines: list[str], starts: list[int], theirs: dict[int, str]) -> list[tuple[int, int]]:
+    """Character spans of a text that equal a first text: ``theirs`` has lines of it by the place they are compared with."""
+    spans, done, last = [], -1, len(lines)
+    for a in sorted(theirs):
+        if a <= done or not 0 <= a < last or not _same(lines[a], theirs[a]):
+            continue
+        b = a + 1
+        while b < last and b in theirs and _same(lines[b], theirs[b]):
+            b += 1
+        low, high, done = starts[a], starts[b], b
+        if a and a - 1 in theirs:
+            low -= _words_back(lines[a - 1], theirs[a - 1])
+        if b < last and b in theirs:
+            high += _words_on(lines[b], theirs[b])
+        spans.append((low, high))
     return spans
 
 
+def _same(a: str, b: str) -> bool:
+    return a == b or a.rstrip(" \n") == b.rstrip(" \n")
+
+
 def cut_spans(text: str, starts: list[int], spans: list[tuple[int, int]]) -> str:
     """``text`` without the joined spans that are long enough."""
     joined: list[list[int]] = []
@@ -247,19 +240,27 @@ def cut_spans(text: str, starts: list[int], spans: list[tuple[int, int]]) -> str
     return "".join([*out, text[at:]])
 
 
+#: Between the parts of an answer: what it compares with, the shift, the number of the block, and the block itself.
+_PART = "\x1f"
+
+
 def without_copies(text: str, given) -> str:
-    """What is left of a text, given the blocks of first texts: structs of oid, over, shift, block and body."""
+    """What is left of a text, given the blocks of first texts."""
     lines = split_lines(text)
     starts = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).tolist()
-    groups: dict[tuple, list] = {}
+    split: dict[str, list[str]] = {}
+    groups: dict[tuple[str, str], dict[int, str]] = {}
     for g in given:
-        groups.setdefault((g["oid"], g["over"]), []).append((g["shift"], g["block"], g["body"]))
-    spans = [s for own in groups.values() for s in equal_spans(lines, starts, sorted(own))]
-    return cut_spans(text, starts[:-1], spans)
+        source, shift, block, body = g.split(_PART, 3)
+        if body not in split:
+            split[body] = split_lines(body)[:BLOCK]
+        at = int(block) * BLOCK + int(shift)
+        groups.setdefault((source, shift), {}).update(enumerate(split[body], at))
+    return cut_spans(text, starts[:-1], [s for theirs in groups.values() for s in equal_spans(lines, starts, theirs)])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages cut from the text; other columns unchanged."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str | None = None) -> DataFrame:
+    """``docs`` with repeated passages cut from the text, other columns unchanged; ``removed`` names a column for the characters cut."""
     id_, version = F.col(id_col).cast("long"), F.xxhash64(text_col)
     asked = materialize(asked_blocks(later_places(docs.select(id_.alias("id"), version.alias("version"), F.col(text_col).alias("text")))), "asked-blocks")
     flag, own_id, own_version, given = (spare(docs, n) for n in ("flag", "id", "version", "given"))
@@ -281,7 +282,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = lambda *names: F.struct(F.coalesce(F.col(names[0]).cast("string"), F.lit("")).alias("i"), F.col(names[1]).alias("v"), F.col(names[2]).alias("b")).alias("key")
     answers = materialize(answers.select(key("aid", "aver", "block"), "body"), "answered-blocks")
     met = salted_join(asked.select("*", key("oid", "over", "block")), answers, ["key"])
-    grouped = met.groupBy("id", "version").agg(F.collect_list(F.struct("oid", "over", "shift", "block", "body")).alias(given))
+    grouped = met.groupBy("id", "version").agg(F.collect_list(F.concat_ws(_PART, F.concat_ws(":", "oid", "over"), "shift", "block", "body")).alias(given))
     grouped = grouped.select(F.col("id").alias(own_id), F.col("version").alias(own_version), given)
 
     @F.pandas_udf("string")
@@ -291,13 +292,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     split = marked(docs, F.xxhash64(id_, version), bitmap(asked, "id", "version"), flag)
     on = id_.eqNullSafe(F.col(own_id)) & (version == F.col(own_version))
     maybe = split.where(flag).join(grouped, on, "left")
-    given_text = F.when(F.col(given).isNotNull(), F.col(text_col))
-    cut = maybe.withColumn(text_col, F.when(F.col(given).isNull(), F.col(text_col)).otherwise(left_over(F.coalesce(given_text, F.lit("")), F.coalesce(given, F.array().cast(grouped.schema[given].dataType)))))
-    return split.where(~F.col(flag)).select(*docs.columns).unionAll(cut.select(*docs.columns))
+    told = F.col(given).isNotNull()
+    after = F.when(told, left_over(F.when(told, F.col(text_col)).otherwise(""), F.coalesce(given, F.array().cast("array<string>")))).otherwise(F.col(text_col))
+    names = [c for c in docs.columns if c != removed]
+    same, cut = split.where(~F.col(flag)), maybe.withColumn(given, after)
+    if removed:
+        same = same.withColumn(removed, F.lit(0).cast("long"))
+        cut = cut.withColumn(removed, F.coalesce(F.length(text_col) - F.length(given), F.lit(0)).cast("long"))
+    cut = cut.withColumn(text_col, F.col(given))
+    names += [removed] if removed else []
+    return same.select(*names).unionAll(cut.select(*names))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Query: what line dedup leaves of every document: ``doc_id, n_lines`` (by line feeds), ``n_removed`` (characters), ``text``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.length("text").alias("size"), F.length(F.translate("text", "\n", "")).alias("bare"))
-    lines, gone = F.col("size") - F.col("bare") + 1, F.col("size") - F.length("text")
-    return dedup_lines(docs).select("doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), "text")
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), removed="n_removed")
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return out.select("doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), "n_removed", "text")
