@@ -2,9 +2,11 @@
 
 Each message is read line by line: the run of ``>`` before a line is its quote level, consecutive lines
 of one level are a passage, and the rest is the author's own text. Quoted passages are normalised (case
-and white space), hashed as a whole and by line, and joined to the own passages of the conversation's
-messages; the first message that holds a passage is its original. A message replies to the latest
-original among its passages of the lowest level that links, if that is an earlier turn. Conversations are
+and white space), hashed as a whole and, for lines of ``LINE_WORDS`` words or more, by line, and joined to the own
+passages of the conversation's messages; the first message that holds a passage is its original. A single line that is
+shorter is a stock phrase ("ok", "thanks"): it links only where it is all that a message says and all that is quoted. Links stay
+within a conversation. A message replies to the latest
+original among its passages of the lowest level that links, if that is an earlier turn; whole passages come before lines. Conversations are
 then laid out in reply order: roots by turn, each followed by its replies, and every message loses its
 quotes and the attribution lines before them.
 
@@ -13,7 +15,7 @@ tour to one other, so neither a long chain of replies nor a message with many re
 Positions are counted over a range-partitioned order, so one conversation may hold any share of the rows.
 Defined cases: null text is empty; null roles read ``unknown``; a null turn comes first and is no
 original; null conversation ids form one conversation; messages repeated with one turn share its replies
-and stand next to each other; an empty table gives an empty result; extra columns are ignored.
+and stand next to each other, by role and text; very long texts are read whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from orbweave.storage import materialize
 
 _QUOTE = re.compile(r"\s{0,3}((?:>\s?)+)(.*)", re.S)
 _ATTRIBUTION = re.compile(r"^.{0,200}\b(wrote|writes|schrieb|a écrit|escribió)\b.{0,80}:\s*$", re.I)
-PARSED = "conv_id long, turn long, role string, own string, own_hashes array<string>, quotes array<struct<level:int,hash:string>>, n_quoted long"
+#: Words of a line that is a passage by itself.
+LINE_WORDS = 4
+PARSED = "conv_id long, turn long, role string, own string, own_hashes array<string>, quotes array<struct<level:int,hash:string,whole:boolean>>, n_quoted long"
 
 
 def normalise(text: str) -> str:
@@ -41,8 +45,8 @@ def passage_hash(text: str) -> str:
     return hashlib.blake2b(normalise(text).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def parse_message(text: str | None) -> tuple[str, list[str], list[tuple[int, str]], int]:
-    """Own text, hashes of own passages, quoted ``(level, hash)`` and the number of quoted passages."""
+def parse_message(text: str | None) -> tuple[str, list[str], list[tuple[int, str, bool]], int]:
+    """Own text, hashes of own passages, quoted ``(level, hash, whole)`` and the number of quoted passages."""
     runs: list[tuple[int, list[str]]] = []
     for line in (text or "").split("\n"):
         m = _QUOTE.fullmatch(line)
@@ -52,14 +56,17 @@ def parse_message(text: str | None) -> tuple[str, list[str], list[tuple[int, str
         else:
             runs.append((level, [body]))
     own: list[str] = []
-    quotes: dict[tuple[int, str], None] = {}
+    quotes: dict[tuple[int, str, bool], None] = {}
+    long_enough = lambda x: len(x.split()) >= LINE_WORDS
     n = 0
     for k, (level, lines) in enumerate(runs):
         if level:
             n += 1
-            for part in ["\n".join(lines), *lines]:
-                if normalise(part):
-                    quotes[(level, passage_hash(part))] = None
+            whole = "\n".join(lines)
+            if normalise(whole):
+                quotes[(level, passage_hash(whole), True)] = None
+            for part in filter(long_enough, lines):
+                quotes[(level, passage_hash(part), False)] = None
         else:
             if k + 1 < len(runs):
                 while lines and not lines[-1].strip():
@@ -68,7 +75,7 @@ def parse_message(text: str | None) -> tuple[str, list[str], list[tuple[int, str
                     lines.pop()
             own += lines
     body = "\n".join(own).strip("\n")
-    parts = {body, *re.split(r"\n\s*\n", body), *own}
+    parts = {body, *filter(long_enough, [*re.split(r"\n\s*\n", body), *own])}
     hashes = sorted({passage_hash(p) for p in parts if normalise(p)})
     return body, hashes, list(quotes), n
 
@@ -76,7 +83,7 @@ def parse_message(text: str | None) -> tuple[str, list[str], list[tuple[int, str
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         got = [parse_message(t) for t in b.pop("text")]
-        yield b.assign(own=[x[0] for x in got], own_hashes=[x[1] for x in got], quotes=[[{"level": q[0], "hash": q[1]} for q in x[2]] for x in got], n_quoted=[x[3] for x in got])
+        yield b.assign(own=[x[0] for x in got], own_hashes=[x[1] for x in got], quotes=[[{"level": q[0], "hash": q[1], "whole": q[2]} for q in x[2]] for x in got], n_quoted=[x[3] for x in got])
 
 
 def _numbered(df: DataFrame, label: str, *order: str) -> DataFrame:
@@ -126,15 +133,15 @@ def reply_order(messages: DataFrame) -> DataFrame:
     narrow = rows.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "role", "text")
     parsed = narrow.mapInPandas(_parse, PARSED.replace("conv_id long, turn long", "conv_id string, turn string"))
     parsed = materialize(parsed.withColumns({"conv_id": F.col("conv_id").cast("long"), "turn": F.col("turn").cast("long")}), "parsed-messages")
-    quoted = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash").distinct()
+    quoted = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash", "q.whole").distinct()
     originals = (
         parsed.where("turn IS NOT NULL").select("conv_id", "turn", F.explode("own_hashes").alias("hash"))
         .groupBy("conv_id", "hash").agg(F.min("turn").alias("origin")).withColumnRenamed("conv_id", "c").withColumnRenamed("hash", "h")
     )
     met = quoted.join(originals, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("origin") < F.col("turn")))
     links = materialize(
-        met.groupBy("conv_id", "turn", "level").agg(F.max("origin").alias("origin"), F.count(F.lit(1)).alias("n"))
-        .groupBy("conv_id", "turn").agg(F.min_by("origin", "level").alias("reply_to"), F.sum("n").alias("n_linked")),
+        met.groupBy("conv_id", "turn", "level", "whole").agg(F.max("origin").alias("origin"), F.count(F.lit(1)).alias("n"))
+        .groupBy("conv_id", "turn").agg(F.min_by("origin", F.struct("level", ~F.col("whole"))).alias("reply_to"), F.sum("n").alias("n_linked")),
         "reply-links",
     )
     replies = links.withColumnsRenamed({"conv_id": "c2", "turn": "t2"})

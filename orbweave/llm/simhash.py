@@ -4,7 +4,8 @@ A document's fingerprint has bit b set if over half of the hashes of its three-w
 Fingerprints within ``RADIUS`` bits link. Each bit position has a vector over GF(2) of ``RADIUS + 1``
 entries; every non-zero vector of that space gives a mask of the positions with inner product one. Any
 ``RADIUS`` differing positions leave some non-zero vector orthogonal to all of them, so the pair agrees
-under that mask: every pair within the radius meets in one of ``2 ** (RADIUS + 1) - 1`` tables.
+under that mask: every pair within the radius meets in one of ``2 ** (RADIUS + 1) - 1`` tables. The positions that have the
+zero vector (0, 16, 32 and 48) are in no mask, so no table needs them to agree, and the proof holds for them too.
 
 Equal fingerprints are one node, so copies cost nothing. A bucket of up to ``BUCKET`` fingerprints is
 compared in one task, which emits a forest and not pairs; a larger one is dealt anew, by each of
@@ -12,8 +13,9 @@ compared in one task, which emits a forest and not pairs; a larger one is dealt
 one of them), until it fits. Components come from star contraction over the links.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; null ids take part but
-never name a component unless all are null; repeated rows share their component; an empty table gives an
-empty result; extra columns are ignored by ``simhash_components`` and pass through ``near_dedup``.
+never name a component unless all are null; repeated rows share their component; very long texts are hashed whole; an
+empty table gives an empty result; extra columns, whatever their names, are ignored by ``simhash_components`` and pass through
+``near_dedup``.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.llm.skew import salted_join, spare
 from orbweave.operators.components import connected_components
 from orbweave.storage import materialize
 
@@ -165,13 +168,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marked.join(labels, "fp").select("doc_id", hexed, "component_id")
+    return salted_join(marked, labels, ["fp"]).select("doc_id", hexed, "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The row of each group with the least id (of rows repeated with that id, each stays); columns unchanged."""
-    keep = simhash_components(docs, id_col, text_col, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    own = spare(docs, "id")
+    keep = simhash_components(docs, id_col, text_col, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left_semi")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -5,12 +5,15 @@ terms that it contains (``x_i`` is 1), so a pair such as an insult and a group m
 than its parts. Terms that say nothing about the label on the training rows (likelihood ratio below
 ``MIN_GAIN``) have no weight. The machine is fitted on the driver by Adagrad on a bounded sample of
 labelled rows (``SAMPLE_POSITIVE`` and ``SAMPLE_NEGATIVE`` rows, lowest hash of the id first); only ids,
-labels and term slots reach the driver. Every document is scored on the workers, over its whole text.
+labels and term slots reach the driver. Where the bounds cut the two labels in different shares, the bias is set back by the
+logarithm of their ratio, counted over all usable labels, so that a score means the same at every size. Every document is
+scored on the workers, over its whole text.
 
 Labels of rows with ``crc32(doc_id) mod 5 = 0`` are never read into training. Defined cases: null and
 empty texts have no terms and get the bias alone; rows with null labels or ids do not train; a repeated
-label row counts once per copy; without any usable label every score is 0.5 or the base rate; null ids
-are scored and not held out (held_out false); an empty table gives an empty result.
+label row counts once per copy; of several texts under one id the least trains; labels of equal hash of the id come by id; without
+any usable label every score is 0.5 or the base rate; null ids are scored and not held out (held_out false); very long texts are
+scored whole; a score of exactly 0.5 predicts 1; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -125,27 +128,52 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, slots: int = SLOTS, factors:
     return Machine(float(bias), known, w, v)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVE, negatives: int = SAMPLE_NEGATIVE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Term slots and labels of the bounded sample; the chosen ids, at most the two bounds, are broadcast to the scan."""
+def training_rows(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVE, negatives: int = SAMPLE_NEGATIVE) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """Term slots and labels of the bounded sample, and what its shares of the two labels add to the bias.
+
+    The chosen ids, at most the two bounds, are broadcast to the scan.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))
     )
     order = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = usable.where("toxic = 1").orderBy(*order).limit(positives).unionAll(usable.where("toxic = 0").orderBy(*order).limit(negatives))
+    counted = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    shift = sampling_shift(counted.get(1, 0), counted.get(0, 0), positives, negatives)
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "slots": [term_slots(t, cache).astype("<i4").tobytes() for t in b["text"]]})
 
-    found = (
+    once = chosen.groupBy("doc_id", "toxic").agg(F.count(F.lit(1)).alias("copies"))
+    texts = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-        .join(F.broadcast(chosen), "doc_id")
+        .join(F.broadcast(once.select("doc_id").distinct()), "doc_id")
+        .groupBy("doc_id").agg(F.min("text").alias("text"))
+    )  # one text an id: what reaches the driver is bounded by the sample
+    found = (
+        texts.join(F.broadcast(once), "doc_id")
+        .select("doc_id", "text", F.explode(F.array_repeat("toxic", F.col("copies").cast("int"))).alias("toxic"))
         .mapInPandas(slots, "doc_id long, toxic int, slots binary")
         .toPandas()
         .sort_values(["doc_id", "toxic", "slots"])
     )
-    return [np.sort(np.frombuffer(x, dtype="<i4").astype(np.int64)) for x in found["slots"]], found["toxic"].to_numpy(dtype=float)
+    return [np.sort(np.frombuffer(x, dtype="<i4").astype(np.int64)) for x in found["slots"]], found["toxic"].to_numpy(dtype=float), shift
+
+
+def sampling_shift(pos: int, neg: int, positives: int = SAMPLE_POSITIVE, negatives: int = SAMPLE_NEGATIVE) -> float:
+    """Logarithm of the ratio of the shares that the sample takes of the two labels."""
+    if not pos or not neg:
+        return 0.0
+    return float(np.log(min(pos, positives) / pos) - np.log(min(neg, negatives) / neg))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVE, negatives: int = SAMPLE_NEGATIVE) -> Machine:
+    """The machine of the bounded sample, its bias set back to the shares of all labels."""
+    rows, y, shift = training_rows(docs, labels, positives, negatives)
+    made = fit(rows, y)
+    return replace(made, bias=made.bias - shift)
 
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -165,4 +193,4 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     """Query: the toxicity of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_documents(docs, fit(*training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+    return score_documents(docs, fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
