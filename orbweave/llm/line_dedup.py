@@ -32,7 +32,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -259,6 +258,12 @@ def without_copies(text: str, given) -> str:
     return cut_spans(text, starts[:-1], [s for theirs in groups.values() for s in equal_spans(lines, starts, theirs)])
 
 
+def _sliced(of, kind: pa.DataType, *columns: pa.Array, rows: int = 100) -> pa.Array:
+    """``of`` each row of some columns, a few rows at a time, so that only they are held as Python objects."""
+    parts = [pa.array([of(*row) for row in zip(*(c.slice(at, rows).to_pylist() for c in columns), strict=True)], kind) for at in range(0, len(columns[0]), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str | None = None) -> DataFrame:
     """``docs`` with repeated passages cut from the text, other columns unchanged; ``removed`` names a column for the characters cut."""
     id_, version = F.col(id_col).cast("long"), F.xxhash64(text_col)
@@ -268,13 +273,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = asked.select("oid", "over", "block").distinct().groupBy("oid", "over").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
     wanted = materialize(wanted, "wanted-blocks")
 
-    @F.pandas_udf("array<struct<block:int,body:string>>")
-    def bodies(text: pd.Series, blocks: pd.Series) -> pd.Series:
-        out = []
-        for t, own in zip(text, blocks, strict=True):
+    @F.arrow_udf("array<struct<block:int,body:string>>")
+    def bodies(text: pa.Array, blocks: pa.Array) -> pa.Array:
+        def of(t: str, own: list[int]) -> list[dict]:
             lines = split_lines(t)
-            out.append([{"block": int(k), "body": "".join(lines[k * BLOCK : (k + 1) * BLOCK])} for k in own])
-        return pd.Series(out, dtype=object)
+            return [{"block": k, "body": "".join(lines[k * BLOCK : (k + 1) * BLOCK])} for k in own]
+
+        return _sliced(of, pa.list_(pa.struct([("block", pa.int32()), ("body", pa.string())])), text, blocks)
 
     narrow = docs.select(id_.alias("aid"), version.alias("aver"), F.col(text_col).alias("text"))
     sources = marked(narrow, F.xxhash64("aid", "aver"), bitmap(wanted, "oid", "over"), "flag").where("flag").join(wanted, F.expr("aid <=> oid AND aver = over"))
@@ -285,9 +290,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = met.groupBy("id", "version").agg(F.collect_list(F.concat_ws(_PART, F.concat_ws(":", "oid", "over"), "shift", "block", "body")).alias(given))
     grouped = grouped.select(F.col("id").alias(own_id), F.col("version").alias(own_version), given)
 
-    @F.pandas_udf("string")
-    def left_over(text: pd.Series, blocks: pd.Series) -> pd.Series:
-        return pd.Series([without_copies(t, b) for t, b in zip(text, blocks, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def left_over(text: pa.Array, blocks: pa.Array) -> pa.Array:
+        return _sliced(without_copies, pa.string(), text, blocks)
 
     split = marked(docs, F.xxhash64(id_, version), bitmap(asked, "id", "version"), flag)
     on = id_.eqNullSafe(F.col(own_id)) & (version == F.col(own_version))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orbweave.llm import bpe, chat, exact_dedup, html, line_dedup, packing, quality, queries, secrets, simhash, textio, toxicity
-from orbweave.storage import shared_path
+from orbweave.storage import materialize, shared_path
 
 LONG = " ".join(f"word{i % 997} the" for i in range(30_000))
 TEXTS = [
@@ -127,8 +127,8 @@ def test_toxicity_learns_pairs():
 
 def test_toxicity_edges_and_hold_out(spark, docs, sf):
     labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (8, None)], "doc_id long, toxic int")
-    rows, y = toxicity.training_rows(docs, labels)
-    assert len(rows) == len(y)
+    rows, y, shift = toxicity.training_rows(docs, labels)
+    assert len(rows) == len(y) == 2 and shift == 0  # two rows of one id, each with its label
     machine = toxicity.fit(rows, y)
     got = toxicity.score_documents(docs, machine).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
@@ -136,6 +136,32 @@ def test_toxicity_edges_and_hold_out(spark, docs, sf):
     assert toxicity.score_documents(empty(docs), machine).count() == 0
 
 
+def test_margin_is_the_double_sum():
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine(0.3, np.array([2, 5, 9, 11]), rng.normal(size=4), rng.normal(size=(4, 3)))
+    for terms in ([], [1], [5], [2, 9], [0, 2, 5, 9, 11, 99]):
+        known = [int(np.flatnonzero(machine.slots == t)[0]) for t in terms if t in machine.slots]
+        want = machine.bias + sum(machine.w[i] for i in known) + sum(machine.v[i] @ machine.v[j] for i in known for j in known if i < j)
+        assert abs(machine.margin(np.array(terms, dtype=np.int64)) - want) < 1e-9
+    assert toxicity.Machine(0.0, np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, 3))).score(np.array([1])) == 0.5
+
+
+def test_a_score_of_one_half_predicts_one(spark, docs):
+    none = toxicity.Machine(0.0, np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, 3)))
+    assert {(r.score, r.predicted) for r in toxicity.score_documents(docs, none).collect()} == {(0.5, 1)}
+
+
+def test_scores_mean_the_same_where_the_sample_is_cut(spark):
+    """With the bounds cut to 250 and 1000 rows, held-out toxic rows are still found and clean ones left alone."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows, y, shift = toxicity.training_rows(docs, labels, 250, 1000)
+    usable = labels.where(~toxicity.held_out(F.col("doc_id"))).groupBy("toxic").count().toPandas().set_index("toxic")["count"]
+    assert (y.sum(), len(y)) == (250, 1250) and abs(shift - np.log(250 / usable[1] / (1000 / usable[0]))) < 1e-9
+    got = toxicity.score_documents(docs, toxicity.fitted(docs, labels, 250, 1000)).where("held_out").join(labels, "doc_id").toPandas()
+    assert got[got.toxic == 1].predicted.mean() > 0.75 and got[got.toxic == 0].predicted.mean() < 0.01
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op2_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
@@ -211,6 +237,41 @@ def test_secret_ledger_is_incremental(spark, docs):
     assert both.count() == docs.count()
 
 
+def test_writers_at_once_do_not_double_the_findings(spark, docs):
+    ledger = shared_path(spark, "t")
+    once = sorted(map(str, secrets.scan_versions(docs, ledger).collect()))
+    spark.read.schema(secrets.FOUND).parquet(ledger).coalesce(1).write.mode("append").parquet(ledger)
+    assert spark.read.parquet(ledger).count() == 2 * secrets.read_ledger(spark, ledger).count()
+    assert sorted(map(str, secrets.scan_versions(docs, ledger).collect())) == once
+
+
+def test_second_run_scans_nothing_and_a_new_rule_everything(spark, docs):
+    ledger, size = shared_path(spark, "t"), lambda: spark.read.schema(secrets.FOUND).parquet(ledger).count()
+    secrets.scan_versions(docs, ledger)
+    first = size()
+    secrets.scan_versions(docs, ledger)
+    assert size() == first == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    changed = secrets.version_of([(k, p + "x", f, g, n) for k, p, f, g, n in secrets.KINDS])
+    assert changed != secrets.RULE_VERSION == secrets.version_of(secrets.KINDS)
+    secrets.scan_versions(docs, ledger, rule_version=changed)
+    assert size() == 2 * first
+
+
+def test_secrets_of_past_versions_are_found(spark):
+    ledger = shared_path(spark, "t")
+    versions = spark.createDataFrame([(1, "password = hunter22"), (1, "clean now"), (2, "password = hunter22")], "doc_id long, text string")
+    secrets.scan_versions(versions, ledger)
+    now = secrets.scan_versions(versions.where("text = 'clean now'"), ledger).collect()
+    assert [(r.doc_id, r.n_assign) for r in now] == [(1, 0)]
+    assert sorted((r.doc_id, r.n_assign) for r in secrets.scan_versions(versions, ledger).collect()) == [(1, 0), (1, 1), (2, 1)]
+    spark.conf.set(secrets.LEDGER_SETTING, ledger)
+    try:
+        assert secrets.ledger_of(spark) == ledger
+    finally:
+        spark.conf.unset(secrets.LEDGER_SETTING)
+    assert secrets.ledger_of(spark) != ledger
+
+
 def test_redaction(spark, docs):
     out = {r.doc_id: r.text for r in secrets.redact_secrets(docs, shared_path(spark, "t")).collect() if r.doc_id is not None}
     assert "hunter22" not in out[16] and "AKIA" not in out[16] and out[0] is None and out[13] == LONG
@@ -297,6 +358,14 @@ def test_packing(spark, docs, sf, whole):
     assert packing.pack(empty(docs), *textio.byte_vocabulary()).count() == 0
 
 
+def test_rows_with_one_id_and_text_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_ROWS", 16)
+    got = packing.pack(spark.createDataFrame([(1, "same text of a row")] * 700 + [(None, None)] * 3, "doc_id long, text string").repartition(3), *textio.byte_vocabulary()).toPandas()
+    assert len(got) == 703
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert list(own.offset) == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 1024
+
+
 def test_best_fit_equals_the_plain_loop():
     rng = random.Random(5)
     for _ in range(30):
@@ -582,15 +651,76 @@ def test_html(spark):
     assert html.extract_pages(pages.where("false")).count() == 0
 
 
-def test_html_pages(spark, sf):
-    for r in queries.QUERIES["op10_html"](spark, sf).collect():
-        page = spark.read.parquet(f"{sf}/pages.parquet").where(F.col("page_id") == r.page_id).first().html if r.page_id < 5 else None
-        if page:
-            import html as h
+def test_html_pages(spark):
+    """All pages of a table: the blocks between the tags of their article, cut out with patterns."""
+    import html as h
 
-            inner = page.split("<article>")[1].split("</article>")[0]
-            want = [" ".join(h.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
-            assert r.text == "\n\n".join(x for x in want if x)
+    for sf in ("sf0.001", "sf0.1"):
+        pages = {r.page_id: r.html for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+        for r in queries.QUERIES["op10_html"](spark, f"/root/testdata/{sf}").collect():
+            inner = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r.page_id], re.S)[1]
+            inner = re.sub(r"<[^>]*\Z", "", re.sub(r"<(script|style|form|aside)\b.*?</\1>", " ", inner, flags=re.S))
+            want = [" ".join(h.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1|li|ul)\b[^>]*>", inner)]
+            assert r.text == "\n\n".join(x for x in want if x) and r.n_chars == len(r.text)
+
+
+def plain_best(tree):
+    """A second scorer over ``(tag, text or kids)``: every container's points summed paragraph by paragraph, down each path anew."""
+    found = []
+
+    def paragraphs(node, path):
+        tag, inside = node
+        if tag == "p":
+            yield path, (1 + inside.count(",") + min(len(inside) / 100, 3))
+        else:
+            for k, kid in enumerate(inside):
+                yield from paragraphs(kid, [*path, (k, kid)])
+
+    every = list(paragraphs(tree, [(None, tree)]))
+
+    def visit(node, path):
+        if node[0] == "p":
+            return
+        score = 0.0
+        for way, points in every:
+            above = [id(n) for _, n in way[:-1]]
+            if id(node) in above:
+                share = len(above) - above.index(id(node))
+                said = node[0] == "article" and not any(n[0] == "article" for _, n in way[above.index(id(node)) + 1 : -1])
+                score += 1.25 * points if said else points / share
+        found.append((-score, len(found), node))
+        for kid in node[1]:
+            visit(kid, path)
+
+    visit(tree, [])
+    return min(found, key=lambda x: x[:2])[2]
+
+
+def test_scores_choose_the_container_that_a_second_scorer_chooses():
+    rng = random.Random(12)
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.35:
+            return ("p", " ".join(rng.choice(["word", "other,", "more"]) for _ in range(rng.randint(3, 60))) + f" {rng.random()}")
+        return (rng.choice(["div", "section", "article"] if depth > 2 else ["div", "section"]), [make(depth - 1) for _ in range(rng.randint(1, 5))])
+
+    text = lambda n: [n[1]] if n[0] == "p" else [x for k in n[1] for x in text(k)]
+    markup = lambda n: f"<{n[0]}>{n[1] if n[0] == 'p' else ''.join(map(markup, n[1]))}</{n[0]}>"
+    for _ in range(150):
+        tree = ("body", [make(4) for _ in range(rng.randint(1, 3))])
+        got = html.extract(f"<html><body>{''.join(map(markup, tree[1]))}</body></html>").split("\n\n")
+        best = text(plain_best(tree))
+        assert [x for x in got if x in best] == best and [x for x in text(tree) if x in got] == got
+
+
+@pytest.mark.parametrize("wrap", ["<div class='content has-sidebar'>%s</div>", "<div class='no-comments'>%s</div>", "<div class='related-work'>%s</div>", "<div id=sidebar>%s</div>", "<div class='ad banner'><div>%s</div></div>", "%s"])
+def test_wrappers_never_take_the_article(wrap):
+    links = "<p>More, text <a href=x>link number one</a> <a href=y>link number two</a></p><ul><li><a href=z>Item</a></li></ul><label>Label</label><object>Kept</object>"
+    inner = f"<h1>Title</h1><p>One, two, three and so on for a while.</p>{links}<div class='ad-box'>Buy, now</div><div class=comment-list><p>Reader.</p></div>"
+    want = "Title\n\nOne, two, three and so on for a while.\n\nMore, text link number one link number two\n\nItem\n\nLabelKept"
+    for tag in ("article", "main"):
+        page = f"<body><nav>Menu</nav>{wrap % f'<{tag}>{inner}</{tag}>'}<div class=ad>Ad, here</div><div class='side-menu'>Side</div><footer>End</footer></body>"
+        assert html.extract(page) == want
 
 
 def test_chat(spark, sf):
@@ -611,6 +741,82 @@ def test_chat(spark, sf):
     assert sorted((r.conv_id, r.position, r.message) for r in got) == sorted((r.conv_id, r.turn, f"<|{r.role}|>\n{r.text}") for r in source)
 
 
+def test_stock_lines_link_nothing_unless_they_are_all(spark):
+    rows = [(1, 0, "a", "ok\nThe first plan is this one."), (1, 1, "b", "Another thing, said by itself."), (1, 2, "a", "> ok\n> Another thing, said by itself.\nyes"), (1, 3, "b", "ok"), (1, 4, "a", "> ok\nfine")]
+    got = {r.turn: r.reply_to for r in chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: 1, 3: None, 4: 3}
+
+
+def brute_replies(rows):
+    """Reply, depth, root and position of each message of generated conversations, one message after the other."""
+    norm = lambda t: " ".join(t.lower().split())
+    split = {}
+    for c, t, _, text in rows:
+        own, quotes, run = [], [], (None, [])
+        for line in text.split("\n"):
+            level = len(line) - len(line.lstrip(">"))
+            if not level:
+                own.append(line)
+                run = (None, [])
+            elif run[0] == level:
+                run[1].append(line.lstrip("> "))
+            else:
+                run = (level, [line.lstrip("> ")])
+                quotes.append(run)
+        split[c, t] = ("\n".join(own), quotes)
+    origin, up = {}, {}
+    for c, t in sorted(split):
+        body = split[c, t][0]
+        for part in [body, *[x for x in body.split("\n") if len(x.split()) >= 4]]:
+            origin.setdefault((c, norm(part)), t)
+    for (c, t), (_, quotes) in split.items():
+        links = []
+        for level, lines in quotes:
+            for whole, part in [(True, "\n".join(lines)), *[(False, x) for x in lines if len(x.split()) >= 4]]:
+                o = origin.get((c, norm(part)))
+                if o is not None and o < t:
+                    links.append((level, not whole, -o))
+        if links:
+            best = min(links)[:2]
+            up[c, t] = -min(x[2] for x in links if x[:2] == best)
+    out = {}
+    for c in {c for c, _ in split}:
+        turns, place = sorted(t for k, t in split if k == c), 0
+
+        def walk(t, depth, root):
+            nonlocal place
+            out[c, t] = (up.get((c, t)), depth, root, place)  # noqa: B023
+            place += 1
+            for kid in turns:  # noqa: B023
+                if up.get((c, kid)) == t:  # noqa: B023
+                    walk(kid, depth + 1, root)
+
+        for t in turns:
+            if (c, t) not in up:
+                walk(t, 0, t)
+    return out
+
+
+def test_generated_conversations_with_quotes(spark):
+    rng, rows = random.Random(21), []
+    for c in range(40):
+        bodies = []
+        for t in range(rng.randint(1, 14)):
+            own = "\n".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "ok"]) + str(rng.randint(0, 30)) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 3)))
+            quoted = []
+            for level in range(1, rng.randint(1, 4)):
+                if bodies and rng.random() < 0.8:
+                    lines = rng.choice(bodies).split("\n")
+                    a = rng.randrange(len(lines))
+                    quoted += [">" * (4 - level) + " " + x.upper() for x in (lines if rng.random() < 0.6 else lines[a:])]
+            rows.append((c, t, "user", "\n".join([*quoted, own])))
+            bodies.append(own)
+    got = chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    want = brute_replies(rows)
+    assert {(r.conv_id, r.turn): (r.reply_to, r.depth, r.root_turn, r.position) for r in got} == want
+    assert sum(1 for x in want.values() if x[0] is not None) > 80 and all(">" not in r.message.split("\n", 1)[1] for r in got)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
@@ -630,6 +836,30 @@ def test_pipeline(spark, sf):
     assert all(r.n_chars == len(r.text) for r in left)
 
 
+CLASHING = ("__id", "__version", "__blob", "__spans", "__flag", "__given", "__part", "__mask", "__salt", "hash", "start", "first", "key", "bucket", "body", "words", "lines", "fp", "score", "length", "place", "oid", "blob", "spans")
+
+
+def test_every_stage_takes_nulls_repeats_clashing_columns_and_no_rows(spark, docs, sf):
+    import corpus_pipeline
+
+    good = " ".join(f"word{i % 97} has{i % 89} some{i % 83} text." for i in range(40))
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "one"), (None, "one"), (None, None), (50, good), (50, good), (51, good + " more"), (None, good), (52, f"{good} password = hunter22 {good}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("lang", "source", *CLASHING)}).withColumn("n_chars", F.length("text").cast("long"))
+    names = table.columns
+    for own in (table, table.where("false")):
+        stage_docs = own
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, stage_docs, sf)
+            assert out.columns == names, name
+            stage_docs = materialize(out, "t")
+            assert stage_docs.where("text IS NOT NULL AND n_chars <> length(text)").isEmpty() or name in ("quality rules", "near-dedup")
+        last = corpus_pipeline.STAGES[-1][1](spark, stage_docs, sf)
+        assert last.select("doc_id").distinct().count() == stage_docs.select("doc_id").distinct().count()
+        if own is table:
+            kept = [(r.doc_id, r.text) for r in stage_docs.collect()]
+            assert kept and {i for i, _ in kept} <= {13, 14, 50, 51, 52, None} and not any("hunter22" in (t or "") for _, t in kept)
+
+
 def test_long_reply_chain_and_many_replies(spark):
     chain = [(1, 0, "a", "start")] + [(1, i, "a", f"> own {i - 1}\nown {i}" if i > 1 else "> start\nown 1") for i in range(1, 70)]
     star = [(None, 0, "a", "root text")] + [(None, i, "b", f"> root text\nreply {i}") for i in range(1, 40)] + [(None, 40, "c", "> reply 3\nlast")]
