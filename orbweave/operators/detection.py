@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions import geometry as g
+from orbweave.operators.prefix import prefix_sum, rank_within
 
 BOX = ["cx", "cy", "w", "h"]
 
@@ -75,14 +76,23 @@ def by_image(batch: pd.DataFrame, order: list[str], rising: list[bool]) -> dict[
 MATCHED = "image long, det long, gt long, conf double, iou double"
 
 
-def match_greedy(dets: DataFrame, gts: DataFrame, rule: str = "voc", least: float = 0.5, buckets: int = 64) -> DataFrame:
-    """Greedy one-to-one matching per image; many images share a group, which spreads the cost of a call.
+#: Boxes that share a call to Python, about.
+BUCKET_BOXES = 8192
+
+
+def _buckets(boxes: DataFrame) -> int:
+    """Groups of images for Python calls of a bounded size, however many boxes there are."""
+    return max(1, boxes.count() // BUCKET_BOXES)
+
+
+def match_greedy(dets: DataFrame, gts: DataFrame, rule: str = "voc", least: float = 0.5) -> DataFrame:
+    """Greedy one-to-one matching per image; images share groups of about ``BUCKET_BOXES`` boxes, which spreads the cost of a call.
 
     ``voc``: detections by falling confidence, later truth wins ties. ``truth_last`` and ``truth_first``:
     truths in order, last or first detection wins ties. ``conf_argmax``: detections by falling
     confidence, first truth wins ties. Unmatched detections have a null ``gt``, unmatched truths a null ``det``.
     """
-    by_conf, key = rule in ("voc", "conf_argmax"), F.pmod(F.xxhash64("image"), F.lit(buckets)).alias("__bucket")
+    by_conf, key = rule in ("voc", "conf_argmax"), F.pmod(F.xxhash64("image"), F.lit(_buckets(dets))).alias("__bucket")
     none = (np.zeros(0, dtype=np.int64), np.zeros((0, 4)), np.zeros(0))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -105,54 +115,86 @@ def match_greedy(dets: DataFrame, gts: DataFrame, rule: str = "voc", least: floa
     return left.groupBy("__bucket").cogroup(gts.select("image", "gt", *BOX, key).groupBy("__bucket")).applyInPandas(run, MATCHED)
 
 
-def non_maximum(dets: DataFrame, threshold: float = 0.5, strict: bool = False, buckets: int = 64) -> DataFrame:
+def non_maximum(dets: DataFrame, threshold: float = 0.5, strict: bool = False, candidates: int | None = None, most: int | None = None) -> DataFrame:
     """Greedy suppression per image, by falling confidence. A box goes if it overlaps a kept one by ``threshold``
-    or more; with ``strict`` only by more."""
+    or more; with ``strict`` only by more. ``candidates`` and ``most`` bound the boxes of an image that take part and stay, as a
+    detector's own rule does (30,000 and 300); the best stay."""
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         own = batch.sort_values(["image", "conf", "det"], ascending=[True, False, True]).drop(columns="__bucket")
         box, image = own[BOX].to_numpy(float), own["image"].to_numpy()
         cuts, keep = np.concatenate([[0], np.flatnonzero(np.diff(image)) + 1, [len(image)]]), np.ones(len(own), dtype=bool)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            over = iou_matrix(box[a:b], box[a:b])
-            near = over > threshold if strict else over >= threshold
-            for i in range(b - a):
-                if keep[a + i]:
-                    keep[a + i + 1 : b] &= ~near[i, i + 1 :]
+            stop = b if candidates is None else min(b, a + candidates)
+            keep[stop:b] = False
+            for i in range(a, stop):
+                if keep[i]:
+                    over = iou_matrix(box[i : i + 1], box[i + 1 : stop])[0]
+                    keep[i + 1 : stop] &= ~(over > threshold if strict else over >= threshold)
+            if most is not None:
+                keep[a + np.flatnonzero(keep[a:b])[most:]] = False
         return own[keep]
 
     schema = "image long, det long, cx double, cy double, w double, h double, conf double"
-    return dets.select("image", "det", *BOX, "conf", F.pmod(F.xxhash64("image"), F.lit(buckets)).alias("__bucket")).groupBy("__bucket").applyInPandas(run, schema)
+    return dets.select("image", "det", *BOX, "conf", F.pmod(F.xxhash64("image"), F.lit(_buckets(dets))).alias("__bucket")).groupBy("__bucket").applyInPandas(run, schema)
 
 
 def lift(dets: DataFrame, slices: DataFrame, least_conf: float = 0.0) -> DataFrame:
     """Slice coordinates to image coordinates: the slice's origin (``ox, oy``) is added, weak boxes go."""
-    return dets.join(F.broadcast(slices), "slice").where(F.col("conf") >= least_conf).withColumns({"cx": F.col("cx") + F.col("ox"), "cy": F.col("cy") + F.col("oy")})
+    return dets.join(slices, "slice").where(F.col("conf") >= least_conf).withColumns({"cx": F.col("cx") + F.col("ox"), "cy": F.col("cy") + F.col("oy")})
+
 
+def scores(matched: DataFrame, least_conf: float = 0.0) -> DataFrame:
+    """Precision, recall and F1 from a matching, of detections of ``least_conf`` or more; null without detections or truths.
 
-def scores(matched: DataFrame) -> DataFrame:
-    """Precision, recall and F1 from a matching."""
-    hit, wrong, missed = (F.count_if(F.col("det").isNotNull() & F.col("gt").isNotNull()), F.count_if(F.col("gt").isNull()), F.count_if(F.col("det").isNull()))
+    A truth whose match is weaker counts as missed. Higher confidences are matched first, so weaker ones take nothing from them.
+    """
+    strong = F.col("conf") >= least_conf
+    hit, wrong, missed = F.count_if(strong & F.col("gt").isNotNull()), F.count_if(strong & F.col("gt").isNull()), F.count_if(F.col("gt").isNotNull() & ~F.coalesce(strong, F.lit(False)))
     out = matched.agg(hit.alias("tp"), wrong.alias("fp"), missed.alias("fn"))
-    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(a) + F.col(b)), F.lit(0.0))
-    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    return out.select("tp", "fp", "fn", ratio("tp", "fp").alias("precision"), ratio("tp", "fn").alias("recall"), f1.alias("f1"))
+    ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(a) + F.col(b))
+    p, r = ratio("tp", "fp"), ratio("tp", "fn")
+    return out.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
 
 
-def average_precision(matched: DataFrame) -> DataFrame:
-    """Area under the precision envelope at 101 recalls.
+def average_precision(matched: DataFrame, points: int = 100) -> DataFrame:
+    """``ap``: area by trapezoids under the precision envelope, linear between recalls, at ``points + 1`` recalls; null without truths.
 
-    Detections with equal confidence are one step: confidences are aggregated first, so the running sums
-    go over distinct confidences and not over all detections.
+    Detections come by falling confidence, then image and number. The curve is known from the place of each right
+    detection in that order, so all that is kept of it is: per step of the grid the highest precision, and the places of the right
+    detections next to a grid point. At one recall the last and lowest precision counts, as it does for interpolation.
     """
-    steps = matched.where("det IS NOT NULL").groupBy("conf").agg(F.count("gt").alias("tp"), F.count(F.lit(1)).alias("n"))
-    total = matched.agg(F.count("gt").alias("truths"))
-    run = Window.orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.select("conf", F.sum("tp").over(run).alias("tp"), F.sum("n").over(run).alias("n")).crossJoin(F.broadcast(total))
-    curve = curve.where("truths > 0").select("conf", (F.col("tp") / F.col("truths")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
-    grid = matched.sparkSession.range(101).select((F.col("id") / 100).alias("r"))
-    best = F.broadcast(grid).join(curve, F.col("recall") >= F.col("r"), "left").groupBy("r").agg(F.coalesce(F.max("precision"), F.lit(0.0)).alias("p"))
-    return best.agg((F.sum(F.when((F.col("r") == 0) | (F.col("r") == 1), F.col("p") / 2).otherwise(F.col("p"))) / 100).alias("ap"))
+    truths = matched.agg(F.count("gt").alias("n")).first()["n"]
+    schema = "ap double"
+    spark = matched.sparkSession
+    if not truths:
+        return spark.createDataFrame([(None,)], schema)
+    found = matched.where("det IS NOT NULL").select("image", "det", "conf", F.col("gt").isNotNull().cast("long").alias("right"), F.lit(0).alias("all"), (-F.floor(F.col("conf") * 65_536)).alias("block"))
+    order = [F.desc("conf"), F.col("image"), F.col("det")]
+    ranked = prefix_sum(rank_within(found, ["all"], "block", order, "place"), ["all"], "block", order, "right", "t")
+    total, best = ranked.agg(F.count(F.lit(1)), F.coalesce(F.max("t"), F.lit(0))).first()
+    if not total:
+        return spark.createDataFrame([(0.0,)], schema)
+    right = ranked.where("right = 1").select("t", "place")
+    below = [k * truths // points for k in range(points + 1)]
+    near = sorted({t + 1 for t in below})
+    cell = F.ceil(F.col("t") * points / truths).cast("int")
+    cells = {r["k"]: r["p"] for r in right.groupBy(cell.alias("k")).agg(F.max(F.col("t") / F.col("place")).alias("p")).collect()}
+    places = {r["t"]: r["place"] for r in right.where(F.col("t").isin(near)).collect()}
+    above = [0.0] * (points + 2)
+    for k in range(points, -1, -1):
+        above[k] = max(above[k + 1], cells.get(k + 1, 0.0))
+    area, heights = 0.0, []
+    for k in range(points + 1):
+        t, x = min(below[k], best), k / points
+        last = places[t + 1] - 1 if t < best else total
+        low = 1.0 if not last else max(t / last, above[k])
+        ahead, high = ((t + 1) / truths, above[k]) if t < best else (1.0, 0.0)
+        at = t / truths
+        heights.append(0.0 if k == points else low + (high - low) * (x - at) / (ahead - at) if ahead > at else low)
+    for a, b in zip(heights, heights[1:], strict=False):
+        area += (a + b) / 2 / points
+    return spark.createDataFrame([(area,)], schema)
 
 
 def describe(dets: DataFrame, least_conf: float = 0.25) -> DataFrame:

@@ -1,54 +1,45 @@
-"""Downlink scheduling over contact windows: prefix sums where an order alone decides, scans where state is carried."""
+"""Downlink planning as sets: as-of joins to a contact plan, first-in-first-out as running sums, metrics of deliveries."""
 
 from __future__ import annotations
 
-import heapq
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.functions.domain import best_rate
+from orbweave.operators.prefix import prefix_sum
+
+#: Seconds of a step of the plan, and the number of steps up to which the plan is broadcast.
+STEP_S = 86_400
+BROADCAST_STEPS = 1 << 14
 
 
 def next_window(items: DataFrame, windows: DataFrame, at: str, start: str, carry: list[str]) -> DataFrame:
     """Forward as-of join to a contact plan: the first window that starts at ``at`` or later; null beyond the plan.
 
-    The plan is a short list (a few windows a day), checked to be below ``MAX_WINDOWS``, and travels as a
-    sorted array to which each row is held; the items are neither shuffled nor sorted.
+    The plan is cut into days. A day's row has the day's windows in order and the first window after the day, whether the
+    next day has one or not, so an item meets one row and compares itself with the windows of one day. The items are neither
+    sorted nor, while the plan has up to ``BROADCAST_STEPS`` days, shuffled.
     """
-    plan = windows.select(F.col(start).cast("double").alias("k"), *carry).orderBy("k")
-    rows = plan.limit(MAX_WINDOWS + 1).collect()
-    if len(rows) > MAX_WINDOWS:
-        return _next_by_sort(items, windows, at, start, carry)
-    one = items.sparkSession.createDataFrame([([r for r in rows],)], f"plan array<{plan.schema.simpleString()}>")
-    hit = F.get(F.filter("plan", lambda p: p["k"] >= F.col(at)), F.lit(0))
-    return items.crossJoin(F.broadcast(one)).withColumn("__hit", hit).select("*", *[F.col("__hit")[c].alias(c) for c in carry]).drop("plan", "__hit")
-
-
-MAX_WINDOWS = 4096
-
-
-def _next_by_sort(items: DataFrame, windows: DataFrame, at: str, start: str, carry: list[str]) -> DataFrame:
-    """The same for plans of any length: windows and items in one order per day, days joined to the next day's first window."""
-    day = lambda c: F.floor(F.col(c) / 86400).cast("long")
-    w = windows.select(day(start).alias("__day"), F.col(start).cast("double").alias("__k"), F.struct(F.col(start).cast("double").alias("__s"), *carry).alias("__w"))
-    lows = w.groupBy("__day").agg(F.min("__w").alias("__first"))
-    later = lows.select("__day", F.first("__first").over(Window.orderBy("__day").rowsBetween(1, 1)).alias("__later"))
-    i = items.withColumns({"__day": day(at), "__k": F.col(at).cast("double"), "__w": F.lit(None).cast(w.schema["__w"].dataType)})
-    both = i.unionByName(w.withColumn("__is", F.lit(True)), allowMissingColumns=True)
-    order = Window.partitionBy("__day").orderBy("__k", F.col("__is").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("__hit", F.first("__w", ignorenulls=True).over(order)).where("__is IS NULL").join(F.broadcast(later), "__day", "left")
-    hit = F.coalesce("__hit", "__later")
-    return found.select(*items.columns, *[hit[c].alias(c) for c in carry])
-
-
-def fifo(queue: DataFrame, group: str, order: list[str], size: str, capacity: str) -> DataFrame:
-    """Oldest first until the first that does not fit: a running sum, since sizes are positive."""
-    run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return queue.withColumn("cum", F.sum(size).over(run)).withColumn("sent", F.col("cum") <= F.col(capacity))
+    day = lambda c: F.floor(F.col(c).cast("double") / STEP_S).cast("long")
+    window = F.struct(F.col(start).cast("double").alias("__s"), *carry)
+    own = windows.where(F.col(start).isNotNull()).groupBy(day(start).alias("__day")).agg(F.array_sort(F.collect_list(window)).alias("__own"))
+    span = own.agg(F.min("__day").alias("low"), F.max("__day").alias("high")).first()
+    if span["low"] is None:
+        return items.select("*", *[F.lit(None).cast(windows.schema[c].dataType).alias(c) for c in carry])
+    low, high = span["low"], span["high"]
+    days = items.sparkSession.range(low, high + 1).withColumnRenamed("id", "__day").join(own, "__day", "left")
+    after = Window.orderBy("__day").rowsBetween(1, Window.unboundedFollowing)  # one row a day of the plan
+    plan = days.withColumn("__later", F.first(F.get("__own", F.lit(0)), ignorenulls=True).over(after))
+    plan = F.broadcast(plan) if high - low < BROADCAST_STEPS else plan
+    met = items.withColumn("__day", F.greatest(day(at), F.lit(low))).join(plan, "__day", "left")
+    hit = F.coalesce(F.get(F.filter("__own", lambda w: w["__s"] >= F.col(at)), F.lit(0)), F.when(F.col(at).isNotNull(), F.col("__later")))
+    return met.withColumn("__hit", hit).select(*items.columns, *[F.col("__hit")[c].alias(c) for c in carry])
+
+
+def fifo(queue: DataFrame, group: str, order: list[str], size: str, capacity: str, block_s: int = 600, time_us: str = "created_us") -> DataFrame:
+    """Oldest first until the first that does not fit: a running sum, since sizes are positive. ``order`` begins with the time of creation."""
+    blocks = queue.withColumn("__block", F.floor(F.col(time_us) / (block_s * 1_000_000)))
+    summed = prefix_sum(blocks, [group], "__block", [F.col(c) for c in order], size, "cum").drop("__block")
+    return summed.withColumn("sent", F.col("cum") <= F.col(capacity))
 
 
 def no_buffer(items: DataFrame, windows: DataFrame) -> DataFrame:
@@ -57,247 +48,45 @@ def no_buffer(items: DataFrame, windows: DataFrame) -> DataFrame:
     return fifo(placed.where("pass_id IS NOT NULL"), "pass_id", ["created_us", "id"], "size", "capacity")
 
 
-def plan_skip(queue: list[dict], capacity: float) -> tuple[list[tuple[dict, float]], list[dict]]:
-    """In order, skipping what does not fit; a progressive item may be cut to fill the window, which ends it."""
-    left, sent, rest = capacity, [], []
-    for k, it in enumerate(queue):
-        if it["size"] <= left:
-            sent.append((it, 1.0))
-            left -= it["size"]
-        elif it["progressive"] and left > 0 and left >= it.get("min_fraction", 0.1) * it["size"]:
-            sent.append((it, left / it["size"]))
-            rest += queue[k + 1 :]
-            break
-        else:
-            rest.append(it)
-    return sent, rest
-
-
-def plan_fifo(queue: list[dict], capacity: float) -> tuple[list[tuple[dict, float]], list[dict]]:
-    left, k, sent = capacity, 0, []
-    while k < len(queue) and queue[k]["size"] <= left:
-        sent.append((queue[k], 1.0))
-        left -= queue[k]["size"]
-        k += 1
-    return sent, queue[k:]
-
-
-def density(it: dict, now: float, aging: float = 0.5) -> float:
-    """Value per byte, raised with the hours waited."""
-    return (it["value"] / it["size"] if it["size"] else 0.0) * (1 + aging * (now - it["created_s"]) / 3600)
-
-
-def run_day(items: list[dict], windows: list[dict], policy: str, storage: float = 8e9) -> list[tuple[dict, float, float]]:
-    """Passes in order of rise; items created by the rise take part; beyond the storage the newest (fifo) or least dense (value) go."""
-    pending, queue, out = sorted(items, key=lambda x: (x["created_s"], x["id"])), [], []
-    at = 0
-    for w in sorted(windows, key=lambda x: x["rise_s"]):
-        if policy == "nobuffer":
-            queue = []
-        while at < len(pending) and pending[at]["created_s"] <= w["rise_s"]:
-            queue.append(pending[at])
-            at += 1
-        held = sum(x["size"] for x in queue)
-        if held > storage:
-            queue.sort(key=(lambda x: (x["created_s"], x["id"])) if policy != "value" else (lambda x: (-(x["value"] / x["size"] if x["size"] else 0), x["created_s"], x["id"])))
-            while queue and held > storage:
-                held -= queue.pop()["size"]
-        if policy == "value":
-            queue.sort(key=lambda x: (-density(x, w["rise_s"]), x["created_s"], x["id"]))
-            sent, queue = plan_skip(queue, w["capacity"])
-        else:
-            queue.sort(key=lambda x: (x["created_s"], x["id"]))
-            sent, queue = plan_fifo(queue, w["capacity"])
-        used, span = 0.0, w["set_s"] - w["rise_s"]
-        for it, share in sent:
-            used += it["size"] * share
-            out.append((it, share, w["rise_s"] + span * used / w["capacity"]))
-    return out
-
-
-DELIVERED = "scenario string, id long, kind string, fraction double, delivered_s double, latency_s double, value double"
-
-
-def simulate(items: DataFrame, windows: DataFrame, policy: str, storage: float = 8e9) -> DataFrame:
-    """Carried-state scheduling, one scenario to a task: scenarios (satellites, days, settings) run in parallel.
-
-    A queue is sequential by nature, so a scenario's items must fit one worker; ``scenario`` is the unit to
-    split by. Items: ``scenario, id, kind, created_s, size, value, progressive``; windows likewise carry
-    ``scenario, rise_s, set_s, capacity``.
-    """
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        got = run_day(left.to_dict("records"), right.to_dict("records"), policy, storage)
-        rows = [(key[0], it["id"], it["kind"], f, t, t - it["created_s"], it["value"] * (math.sqrt(f) if it["progressive"] else 1.0)) for it, f, t in got]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in DELIVERED.split(", ")])
-
-    return items.groupBy("scenario").cogroup(windows.groupBy("scenario")).applyInPandas(run, DELIVERED)
-
-
-def fractional_bound(items: DataFrame, group: str, capacity: str, floor: float = 0.1) -> DataFrame:
-    """Upper bound of one window: items by value per byte, the last one cut; a running sum of saturation bytes."""
-    rate, used = best_rate(F.col("value"), F.col("size"), F.col("progressive"), floor)
-    run = Window.partitionBy(group).orderBy(F.desc("rate"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    rated = items.withColumns({"rate": rate, "sat": used}).withColumn("before", F.coalesce(F.sum("sat").over(run), F.lit(0.0)))
-    take = F.least(F.col("sat"), F.greatest(F.lit(0.0), F.col(capacity) - F.col("before")))
-    return rated.groupBy(group).agg(F.sum(take * F.col("rate")).alias("bound"))
-
-
-def best_value(items: list[dict], capacity: float, buckets: int = 400, steps: int = 4, floor: float = 0.1) -> float:
-    """Exact optimum over capacity buckets; progressive items may be cut at ``steps`` fractions."""
-    unit = capacity / buckets
-    best = np.zeros(buckets + 1)
-    for it in items:
-        options = [(it["size"], it["value"])]
-        if it["progressive"]:
-            options += [(it["size"] * f, it["value"] * math.sqrt(f)) for f in np.linspace(floor, 1, steps, endpoint=False)]
-        new = best.copy()
-        for size, value in options:
-            need = math.ceil(size / unit - 1e-9)
-            if need <= buckets:
-                new[need:] = np.maximum(new[need:], best[: buckets + 1 - need] + value)
-        best = new
-    return float(best[-1])
-
-
-def clairvoyant(items: list[dict], windows: list[dict], floor: float = 0.1) -> float:
-    """Bound over all windows with release times: by falling rate, each item fills the latest windows it may use first."""
-    windows = sorted(windows, key=lambda w: w["rise_s"])
-    room, total = [w["capacity"] for w in windows], 0.0
-    for it in sorted(items, key=lambda x: -((x["value"] / x["size"]) / (math.sqrt(floor) if x["progressive"] else 1) if x["size"] else 0)):
-        rate = (it["value"] / it["size"]) / (math.sqrt(floor) if it["progressive"] else 1) if it["size"] else 0.0
-        need = it["value"] / rate if rate else 0.0
-        for j in range(len(windows) - 1, -1, -1):
-            if need <= 0 or windows[j]["rise_s"] < it["created_s"]:
-                break
-            take = min(room[j], need)
-            room[j] -= take
-            need -= take
-            total += take * rate
-    return total
-
-
-def measure_gap(items: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per scenario: what value-greedy delivers and the bound over all windows."""
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own, plan = left.to_dict("records"), right.to_dict("records")
-        got = sum(it["value"] * (math.sqrt(f) if it["progressive"] else 1.0) for it, f, _ in run_day(own, plan, "value"))
-        top = clairvoyant(own, plan)
-        return pd.DataFrame([(key[0], got, top, (top - got) / top if top else 0.0)], columns=["scenario", "greedy", "bound", "gap"])
-
-    return items.groupBy("scenario").cogroup(windows.groupBy("scenario")).applyInPandas(run, "scenario string, greedy double, bound double, gap double")
-
-
 def delivery_metrics(delivered: DataFrame) -> DataFrame:
-    """Per kind: deliveries, bytes-weighted fraction, latency percentiles."""
+    """Per kind: deliveries, bytes, value, latency percentiles."""
     return delivered.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.expr("percentile(latency_s, 0.5)").alias("p50"), F.expr("percentile(latency_s, 0.9)").alias("p90"), F.max("latency_s").alias("most")
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum("value").alias("value"), F.expr("percentile(latency_s, 0.5)").alias("p50"), F.expr("percentile(latency_s, 0.9)").alias("p90"), F.max("latency_s").alias("most")
     )
 
 
-ROUTED = "scenario string, id long, path string, delivered_s double, latency_s double, energy_J double, deadline_met boolean"
-
-
-def simulate_comms(items: DataFrame, ground: DataFrame, isl: DataFrame, relay: DataFrame, lam_t: float = 1 / 3600, lam_e: float = 0.0, deadline_s: float | None = None, p_tx: float = 15.0, p_isl: float = 12.0, isl_bps: float = 2.53e6 * 0.8) -> DataFrame:
-    """Two paths per scenario: direct passes, or a relay reached over an inter-satellite window and its own passes.
-
-    Events in time order; at equal times windows to the relay come before direct passes and those before relay
-    passes. Each item takes the path with the least ``lam_e * E + lam_t * T``; paths that miss the deadline
-    are left, unless none meets it, then the fastest is taken and marked.
-    """
-    tagged = ground.withColumn("path", F.lit("direct")).unionByName(isl.withColumn("path", F.lit("isl"))).unionByName(relay.withColumn("path", F.lit("relay")))
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        of = {p: sorted(right[right.path == p].to_dict("records"), key=lambda w: w["rise_s"]) for p in ("direct", "isl", "relay")}
-        room = {p: [w["capacity"] for w in ws] for p, ws in of.items()}
-
-        def first(path: str, at: float, size: float) -> int | None:
-            return next((j for j, w in enumerate(of[path]) if w["rise_s"] >= at and room[path][j] >= size), None)
-
-        rows = []
-        for it in sorted(left.to_dict("records"), key=lambda x: (x["created_s"], x["id"])):
-            size, options = it["size"], []
-            if (j := first("direct", it["created_s"], size)) is not None:
-                w = of["direct"][j]
-                took = size * (w["set_s"] - w["rise_s"]) / w["capacity"]
-                options.append(("direct", [("direct", j)], w["rise_s"] + took, p_tx * took))
-            if (i := first("isl", it["created_s"], size)) is not None:
-                hop = size * 8 / isl_bps
-                if (j := first("relay", of["isl"][i]["rise_s"] + hop, size)) is not None:
-                    w = of["relay"][j]
-                    took = size * (w["set_s"] - w["rise_s"]) / w["capacity"]
-                    options.append(("relay", [("isl", i), ("relay", j)], w["rise_s"] + took, p_isl * hop + p_tx * took))
-            if not options:
-                continue
-            met = [o for o in options if deadline_s is None or o[2] - it["created_s"] <= deadline_s]
-            cost = lambda o: lam_e * o[3] + lam_t * (o[2] - it["created_s"])  # noqa: B023, E731
-            path, used, at, energy = min(met, key=cost) if met else min(options, key=lambda o: o[2])
-            for p, j in used:
-                room[p][j] -= size
-            rows.append((key[0], it["id"], path, at, at - it["created_s"], energy, None if deadline_s is None else bool(met)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in ROUTED.split(", ")])
-
-    return items.groupBy("scenario").cogroup(tagged.groupBy("scenario")).applyInPandas(run, ROUTED)
+def ship_metrics(delivered: DataFrame, carried: DataFrame, ships: DataFrame) -> DataFrame:
+    """Per scenario: share of ships, and of dark ones, of which anything came, share of the value, hours to the first news.
 
-
-def joint_options(objects: DataFrame, cost: dict | None = None) -> DataFrame:
-    """Each object's four levels with bytes, energy, latency, accuracy and information credit (0, .5, .8, 1).
-
-    Seconds are bytes times eight over bits a second. ``legacy_units`` in ``cost`` leaves out the eight.
+    ``carried``: scenario, id, ship; ``ships``: scenario, ship, created_s, dark, weight. A ship of which nothing came counts.
     """
-    c = {"p_tx_W": 15.0, "r_tx_bps": 2.53e6, "p_proc_W": 28.0, "t_proc_ms": (0.0, 10.0, 20.0, 40.0), "legacy_units": False} | (cost or {})
-    eight = 1 if c["legacy_units"] else 8
-    sizes = F.array(F.lit(0.0), F.col("meta_bytes"), F.col("meta_bytes") + F.col("roi_bytes"), F.col("meta_bytes") + F.col("roi_bytes") + F.col("ctx_bytes"))
-    long = objects.select("*", F.posexplode(sizes).alias("level", "bytes"))
-    tx = F.col("bytes") * eight / c["r_tx_bps"]
-    proc = F.array(*[F.lit(float(x)) for x in c["t_proc_ms"]])[F.col("level")] / 1000
-    credit = F.array(*[F.lit(x) for x in (0.0, 0.5, 0.8, 1.0)])[F.col("level")]
-    return long.withColumns({"energy_J": c["p_tx_W"] * tx + c["p_proc_W"] * proc, "latency_s": tx + proc, "acc": F.when(F.col("level") > 0, F.col("conf")).otherwise(0.0), "info": credit * F.col("weight")})
-
-
-def joint_cost(alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0):
-    return alpha * F.col("energy_J") + beta * F.col("latency_s") - gamma * F.col("info")
-
-
-def joint_argmin(options: DataFrame, alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0) -> DataFrame:
-    """Each object's cheapest level; the lower level wins ties."""
-    return options.withColumn("j", joint_cost(alpha, beta, gamma)).groupBy("id").agg(F.min_by("level", F.struct("j", "level")).alias("level"), F.min("j").alias("j"))
-
-
-def joint_solve(options: pd.DataFrame, weights: tuple[float, float, float], least_info: float = 0.5) -> dict[int, int]:
-    """Levels that keep ``least_info`` of all information at the least cost: cheapest levels, then upgrades by cost per information (heap)."""
-    a, b, c = weights
-    own = {i: g.sort_values("level").to_dict("records") for i, g in options.groupby("id")}
-    j = lambda o: a * o["energy_J"] + b * o["latency_s"] - c * o["info"]
-    level = {i: min(os, key=lambda o: (j(o), o["level"]))["level"] for i, os in own.items()}
-    info, top = sum(own[i][k]["info"] for i, k in level.items()), sum(os[-1]["info"] for os in own.values())
-
-    def step(i: int):
-        ups = [(max(0.0, j(o) - j(own[i][level[i]])) / (o["info"] - own[i][level[i]]["info"]), i, o["level"]) for o in own[i][level[i] + 1 :] if o["info"] > own[i][level[i]]["info"]]
-        return min(ups, default=None)
-
-    heap = [s for i in own if (s := step(i))]
-    heapq.heapify(heap)
-    while info < least_info * top - 1e-12 and heap:
-        _, i, k = heapq.heappop(heap)
-        info += own[i][k]["info"] - own[i][level[i]]["info"]
-        level[i] = k
-        if s := step(i):
-            heapq.heappush(heap, s)
-    return level
-
-
-def joint_pareto(options: DataFrame, grid=((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (1.0, 1.0, 1.0)), least_info: float = 0.5) -> DataFrame:
-    """The joint program at each point of the grid of weights; one group per scenario and weights runs in one task."""
-    spark = options.sparkSession
-    points = spark.createDataFrame([(k, *map(float, w)) for k, w in enumerate(grid)], "point long, alpha double, beta double, gamma double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = tuple(pdf[["alpha", "beta", "gamma"]].iloc[0])
-        level = joint_solve(pdf, w, least_info)
-        got = pdf[pdf["level"] == pdf["id"].map(level)]
-        top = pdf.groupby("id")["info"].max().sum()
-        return pd.DataFrame([(pdf["scenario"].iloc[0], pdf["point"].iloc[0], got.energy_J.sum(), got.latency_s.sum(), got.bytes.sum(), got["info"].sum() / top if top else 0.0)], columns=["scenario", "point", "energy_J", "latency_s", "bytes", "info_share"])
-
-    return options.crossJoin(F.broadcast(points)).groupBy("scenario", "point").applyInPandas(run, "scenario string, point long, energy_J double, latency_s double, bytes double, info_share double")
+    first = delivered.join(carried, ["scenario", "id"]).groupBy("scenario", "ship").agg(F.min("delivered_s").alias("first_s"))
+    seen = ships.join(first, ["scenario", "ship"], "left").withColumns({"came": F.col("first_s").isNotNull().cast("double"), "hours": (F.col("first_s") - F.col("created_s")) / 3600})
+    value = delivered.groupBy("scenario").agg(F.sum("value").alias("got"), F.sum("bytes").alias("bytes"))
+    hours = lambda q, dark=False: F.percentile(F.when(F.col("dark") | F.lit(not dark), F.col("hours")), F.lit(q))
+    per = seen.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("ships"), F.avg("came").alias("recall"), F.avg(F.when(F.col("dark"), F.col("came"))).alias("dark_recall"), F.sum("weight").alias("weight"),
+        hours(0.5).alias("p50_h"), hours(0.9).alias("p90_h"), hours(0.5, True).alias("dark_p50_h"),
+    )
+    out = per.join(value, "scenario", "left")
+    return out.select("scenario", "ships", "recall", "dark_recall", (F.coalesce("got", F.lit(0.0)) / F.col("weight")).alias("value_share"), "p50_h", "p90_h", "dark_p50_h", F.coalesce("bytes", F.lit(0.0)).alias("bytes"))
+
+
+def path_summary(routed: DataFrame) -> DataFrame:
+    """Per path: items, bytes, latency percentiles, seconds on the links, energy, share that met the deadline."""
+    return routed.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.expr("percentile(latency_s, 0.5)").alias("p50"), F.expr("percentile(latency_s, 0.9)").alias("p90"), F.max("latency_s").alias("most"),
+        F.sum("tx_s").alias("tx_s"), F.sum("isl_s").alias("isl_s"), F.sum("energy_J").alias("energy_J"), F.avg(F.col("deadline_met").cast("double")).alias("met"),
+    )
+
+
+def scaled(windows: DataFrame, share: float) -> DataFrame:
+    """A contact plan of which the payload gets a share."""
+    return windows.withColumn("capacity", F.col("capacity") * share)
+
+
+def pass_rates(windows: DataFrame, share: float = 1.0) -> DataFrame:
+    """Mean bits a second of each pass: of the payload, and of the transmitter that serves it with ``share`` of its time."""
+    seconds = F.col("set_s") - F.col("rise_s")
+    own = F.when(seconds > 0, F.col("capacity") * 8 / seconds).otherwise(F.lit(0.0))
+    return windows.withColumns({"payload_bps": own, "physical_bps": own / share if share > 0 else F.lit(0.0)})

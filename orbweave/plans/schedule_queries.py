@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orbweave.operators import orbit, scheduling
+from orbweave.operators import joint, optimum, orbit, replay, scheduling
 from orbweave.plans import views as v
 from orbweave.plans.book import book
 from orbweave.session import table
@@ -109,73 +109,179 @@ def deadline_route(spark, sf):
 @query("SELECT pass_id, round(sum(least(sat, greatest(0, capacity - bef)) * rate), 4) AS bound FROM (SELECT pass_id, capacity, rate, sat, coalesce(sum(sat) OVER (PARTITION BY pass_id ORDER BY rate DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM (SELECT pass_id, id, capacity, value / size / CASE WHEN progressive THEN sqrt(CAST(0.1 AS DOUBLE)) ELSE 1 END AS rate, CASE WHEN value > 0 THEN size * CASE WHEN progressive THEN sqrt(CAST(0.1 AS DOUBLE)) ELSE 1 END ELSE 0 END AS sat FROM (SELECT *, value_c / CAST(100 AS DOUBLE) AS value FROM v_placed))) GROUP BY pass_id", _PLACED)
 def fractional_bound(spark, sf):
     p = _placed(spark, sf).withColumn("value", F.col("value_c") / F.lit(100.0).cast("double"))
-    return scheduling.fractional_bound(p, "pass_id", "capacity").select("pass_id", R(F.col("bound"), 4).alias("bound"))
+    return optimum.fractional_bound(p, "pass_id", "capacity").select("pass_id", R(F.col("bound"), 4).alias("bound"))
+
+
+@query("SELECT id, start FROM (SELECT CAST(range AS BIGINT) AS id, range * 977.5 AS t FROM range(4000)) i ASOF LEFT JOIN (SELECT CAST(d * 86400 + k * 40 AS DOUBLE) AS start FROM (SELECT unnest(range(45)) AS d), (SELECT unnest(range(2000)) AS k) WHERE d % 7 NOT IN (2, 3, 4) AND k % 9 < 4) w ON i.t <= w.start")
+def asof_long_plan(spark, sf):
+    """A plan of 22,000 windows with days on which there is none: every seventh day is followed by three without."""
+    items = spark.range(4000).select("id", (F.col("id") * 977.5).cast("double").alias("t"))
+    plan = spark.range(45).select(F.col("id").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("k")).where("d % 7 NOT IN (2, 3, 4) AND k % 9 < 4")
+    plan = plan.select((F.col("d") * 86400 + F.col("k") * 40).cast("double").alias("start"))
+    return scheduling.next_window(items, plan, "t", "start", ["start"]).select("id", "start")
 
 
 def _options(spark, sf):
     li = table(spark, sf, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("q"))
-    return scheduling.joint_options(li.select("id", F.lit(40.0).alias("meta_bytes"), (F.col("q") * 20).alias("roi_bytes"), (F.col("q") * 1000).alias("ctx_bytes"), (F.col("q") / 50).alias("conf"), F.when(F.col("id") % 10 == 0, 5.0).otherwise(1.0).alias("weight")))
+    return joint.joint_options(li.select("id", F.lit(40.0).alias("meta_bytes"), (F.col("q") * 20).alias("roi_bytes"), (F.col("q") * 1000).alias("ctx_bytes"), F.when(F.col("id") % 10 == 0, 5.0).otherwise(1.0).alias("weight")))
+
 
+_JOINT = "v_o AS (SELECT l_orderkey AS id, max(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), v_l AS (SELECT id, level, bytes, 28 * sec + 15 * bytes * 8 / CAST(2530000 AS DOUBLE) AS e, sec + bytes * 8 / CAST(2530000 AS DOUBLE) AS t, credit * w AS info, w FROM (SELECT id, level, CASE level WHEN 0 THEN 0 WHEN 1 THEN 40 WHEN 2 THEN 40 + q * 20 ELSE 40 + q * 20 + q * 1000 END AS bytes, CAST(sec AS DOUBLE) AS sec, CAST(credit AS DOUBLE) AS credit, CASE WHEN id % 10 = 0 THEN 5 ELSE 1 END AS w FROM v_o, (VALUES (0, 0, 0.0), (1, 0.0005, 0.5), (2, 0.004, 0.8), (3, 0.012, 1.0)) AS l(level, sec, credit))), v_j AS (SELECT *, round(e + bytes / 1e6 + t / 3600 - 0.02 * info, 9) AS j FROM v_l)"
 
-_JOINT = "v_o AS (SELECT l_orderkey AS id, max(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), v_l AS (SELECT id, level, bytes, 15 * bytes * 8 / CAST(2530000 AS DOUBLE) + 28 * ms / CAST(1000 AS DOUBLE) AS e, bytes * 8 / CAST(2530000 AS DOUBLE) + ms / CAST(1000 AS DOUBLE) AS t, credit * CASE WHEN id % 10 = 0 THEN 5 ELSE 1 END AS info FROM (SELECT id, level, CASE level WHEN 0 THEN 0 WHEN 1 THEN 40 WHEN 2 THEN 40 + q * 20 ELSE 40 + q * 20 + q * 1000 END AS bytes, CAST(ms AS DOUBLE) AS ms, CAST(credit AS DOUBLE) AS credit FROM v_o, (VALUES (0, 0, 0.0), (1, 10, 0.5), (2, 20, 0.8), (3, 40, 1.0)) AS l(level, ms, credit)))"
 
+def _with_j(spark, sf):
+    """The cost of a level less a price of information, so that no level is cheapest for all."""
+    return _options(spark, sf).withColumn("j", R(joint.joint_cost() - 0.02 * F.col("info"), 9))
 
-@query("SELECT level, count(*) AS n, round(sum(j), 4) AS j FROM (SELECT id, CAST(arg_min(level, (j, level)) AS INTEGER) AS level, min(j) AS j FROM (SELECT id, level, round(e + t - info, 9) AS j FROM v_l) GROUP BY id) GROUP BY level", _JOINT)
+
+@query("SELECT level, count(*) AS n, round(sum(j), 4) AS j FROM (SELECT id, CAST(arg_min(level, (j, level)) AS INTEGER) AS level, min(j) AS j FROM v_j GROUP BY id) GROUP BY level", _JOINT)
 def joint_argmin_level(spark, sf):
-    o = _options(spark, sf).withColumn("j", R(scheduling.joint_cost(), 9))
-    best = o.groupBy("id").agg(F.min_by("level", F.struct("j", "level")).alias("level"), F.min("j").alias("j"))
+    best = joint.joint_argmin(_with_j(spark, sf).drop("j"), R(joint.joint_cost() - 0.02 * F.col("info"), 9))
     return best.groupBy("level").agg(F.count(F.lit(1)).alias("n"), R(F.sum("j"), 4).alias("j"))
 
 
-@query("SELECT count(*) AS reported FROM (SELECT id, sum(1) OVER (ORDER BY dj, id) AS k, count(*) OVER () AS n FROM (SELECT id, max(j) FILTER (level = 1) - max(j) FILTER (level = 0) AS dj FROM (SELECT id, level, round(e + t - info, 9) AS j FROM v_l) GROUP BY id)) WHERE k <= ceil(0.9 * n)", _JOINT)
+@query("SELECT level, round(sum(e), 4) AS energy_J, round(sum(t), 4) AS latency_s, round(sum(info), 4) AS info, CAST(sum(CASE WHEN level > 0 THEN w ELSE 0 END) AS DOUBLE) AS acc, round(sum(bytes), 2) AS bytes FROM v_l GROUP BY level", _JOINT)
+def joint_levels(spark, sf):
+    o = _options(spark, sf).groupBy(F.col("level").cast("int").alias("level"))
+    return o.agg(R(F.sum("energy_J"), 4).alias("energy_J"), R(F.sum("latency_s"), 4).alias("latency_s"), R(F.sum("info"), 4).alias("info"), F.sum("acc").alias("acc"), R(F.sum("bytes"), 2).alias("bytes"))
+
+
+@query("SELECT count(*) AS reported FROM (SELECT id, sum(1) OVER (ORDER BY dj, id) AS k, count(*) OVER () AS n FROM (SELECT id, max(j) FILTER (level = 1) - max(j) FILTER (level = 0) AS dj FROM v_j GROUP BY id)) WHERE k <= ceil(0.9 * n)", _JOINT)
 def joint_phase_a(spark, sf):
-    """Cheapest objects to report first, up to nine tenths: ranks over distinct costs, then ids within a cost."""
-    o = _options(spark, sf).withColumn("j", R(scheduling.joint_cost(), 9)).groupBy("id").agg((F.max(F.when(F.col("level") == 1, F.col("j"))) - F.max(F.when(F.col("level") == 0, F.col("j")))).alias("dj"))
+    """Cheapest objects to report first, up to nine tenths: ranks by blocks of cost, so no cost is sorted in one task."""
+    from orbweave.operators.prefix import rank_within
+
+    o = _with_j(spark, sf).groupBy("id").agg((F.max(F.when(F.col("level") == 1, F.col("j"))) - F.max(F.when(F.col("level") == 0, F.col("j")))).alias("dj"))
     n = o.agg(F.count(F.lit(1)).alias("n"))
-    steps = o.groupBy("dj").agg(F.count(F.lit(1)).alias("m")).select("dj", F.coalesce(F.sum("m").over(Window.orderBy("dj").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    k = F.col("before") + F.row_number().over(Window.partitionBy("dj").orderBy("id"))
-    return o.join(steps, "dj").withColumn("k", k).crossJoin(F.broadcast(n)).where(F.col("k") <= F.ceil(F.lit(0.9) * F.col("n"))).agg(F.count(F.lit(1)).alias("reported"))
+    blocks = o.withColumns({"all": F.lit(0), "block": F.struct("dj", F.floor(F.col("id") / 4096).alias("b"))})
+    ranked = rank_within(blocks, ["all"], "block", [F.col("dj"), F.col("id")], "k")
+    return ranked.crossJoin(F.broadcast(n)).where(F.col("k") <= F.ceil(F.lit(0.9) * F.col("n"))).agg(F.count(F.lit(1)).alias("reported"))
 
 
 def _scenarios(spark, sf):
-    """A scenario is a user group's items against the whole contact plan."""
-    i = v.items(spark, sf).select(F.concat(F.lit("s"), F.pmod("user_id", F.lit(16))).alias("scenario"), "id", "kind", (F.col("created_us") / 1e6).alias("created_s"), F.col("size").cast("double").alias("size"), (F.col("value_c") / 100).alias("value"), "progressive")
-    names = spark.range(16).select(F.concat(F.lit("s"), F.col("id")).alias("scenario"))
-    w = names.crossJoin(F.broadcast(v.passes(spark))).select("scenario", F.col("rise_s").cast("double").alias("rise_s"), F.col("set_s").cast("double").alias("set_s"), (F.col("capacity") / 16).alias("capacity"))
+    """A scenario is a user's items against the whole contact plan, with a share of its capacity."""
+    scenario = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("scenario")
+    i = v.items(spark, sf).select(scenario, "id", "kind", (F.col("created_us") / 1e6).alias("created_s"), F.col("size").cast("double").alias("size"), (F.col("value_c") / 100).alias("value"), "progressive", "user_id")
+    names = v.items(spark, sf).select(scenario).distinct()
+    w = names.crossJoin(F.broadcast(v.passes(spark))).select("scenario", F.col("rise_s").cast("double").alias("rise_s"), F.col("set_s").cast("double").alias("set_s"), (F.col("capacity") / 64).alias("capacity"))
     return i, w
 
 
+def _plans(spark, sf):
+    i, w = _scenarios(spark, sf)
+    return i.drop("user_id"), w
+
+
 @query()
 def value_greedy_day(spark, sf):
-    return scheduling.delivery_metrics(scheduling.simulate(*_scenarios(spark, sf), "value"))
+    return scheduling.delivery_metrics(replay.simulate(*_plans(spark, sf), "value"))
 
 
 @query()
 def fifo_day(spark, sf):
-    return scheduling.delivery_metrics(scheduling.simulate(*_scenarios(spark, sf), "fifo"))
+    return scheduling.delivery_metrics(replay.simulate(*_plans(spark, sf), "fifo"))
 
 
 @query()
 def storage_eviction(spark, sf):
-    return scheduling.delivery_metrics(scheduling.simulate(*_scenarios(spark, sf), "value", storage=200_000.0))
+    return scheduling.delivery_metrics(replay.simulate(*_plans(spark, sf), "value", storage=30_000.0))
+
+
+_USERS = v.ITEMS + ", " + v.PASSES + ", v_placed AS (SELECT i.*, p.* FROM v_items i ASOF JOIN v_passes p ON i.created_us / 1e6 <= p.rise_s), v_own AS (SELECT *, sum(size) OVER (PARTITION BY user_id, pass_id ORDER BY created_us, id) AS cum FROM v_placed)"
+
+
+@query("SELECT kind, count(*) AS n, CAST(sum(size) AS DOUBLE) AS bytes FROM v_own WHERE cum <= capacity / CAST(64 AS DOUBLE) GROUP BY kind", _USERS)
+def nobuffer_replay(spark, sf):
+    """The replay in order of events without a buffer, against the running sums of SQL."""
+    return replay.simulate(*_plans(spark, sf), "nobuffer").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT count(*) AS ships, round(avg(CASE WHEN f.s IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, round(avg(CASE WHEN NOT dark THEN NULL WHEN f.s IS NULL THEN 0.0 ELSE 1.0 END), 6) AS dark_recall FROM (SELECT user_id, id, id % 9 = 0 AS dark FROM v_items WHERE kind IN ('L0', 'L1')) x LEFT JOIN (SELECT id, min(cum) AS s FROM v_own WHERE cum <= capacity / CAST(64 AS DOUBLE) GROUP BY 1) f USING (id)", _USERS)
+def ship_recall(spark, sf):
+    """Recall over ships, one a record, from replayed deliveries; scenarios are put together at the end."""
+    i, w = _scenarios(spark, sf)
+    records = i.where("kind IN ('L0', 'L1')")
+    ships = records.select("scenario", F.col("id").alias("ship"), "created_s", (F.col("id") % 9 == 0).alias("dark"), F.lit(1.0).alias("weight"))
+    per = scheduling.ship_metrics(replay.simulate(i.drop("user_id"), w, "nobuffer"), records.select("scenario", "id", F.col("id").alias("ship")), ships)
+    dark = ships.where("dark").groupBy("scenario").agg(F.count(F.lit(1)).alias("d"))
+    per = per.join(dark, "scenario", "left")
+    return per.agg(F.sum("ships").alias("ships"), R(F.sum(F.col("recall") * F.col("ships")) / F.sum("ships")).alias("recall"), R(F.sum(F.col("dark_recall") * F.col("d")) / F.sum("d")).alias("dark_recall"))
+
+
+def _products(spark, sf):
+    """Products of coastal tiles in two forms, of which the pressure chooses; all others always."""
+    i, w = _scenarios(spark, sf)
+    coast = F.col("kind") == "tile"
+    own = i.select("scenario", "id", F.col("id").alias("tile"), "kind", "created_s", "size", "value", "progressive", F.pmod("id", F.lit(40)).alias("unconfirmed"), F.when(coast, "tile").otherwise("always").alias("variant"))
+    mosaic = own.where("variant = 'tile'").select("scenario", (-F.col("id") - 1).alias("id"), "tile", F.lit("mosaic").alias("kind"), "created_s", F.lit(2259.0).alias("size"), "value", F.lit(False).alias("progressive"), "unconfirmed", F.lit("mosaic").alias("variant"))
+    return own.unionByName(mosaic), w
+
+
+@query()
+def online_pressure(spark, sf):
+    """Encoding and scheduling together: the level of detail of coastal tiles follows the queue."""
+    d = replay.simulate_online(*_products(spark, sf), "value")
+    return d.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.avg("escalate").alias("escalate"), F.max(F.when(F.col("pressure") < 1e9, F.col("pressure"))).alias("pressure"))
 
 
 @query()
 def optimality_gap(spark, sf):
-    return scheduling.measure_gap(*_scenarios(spark, sf))
+    """Windows of each day, small instances solved by the policy and exactly."""
+    g = optimum.measure_gap(*_plans(spark, sf), n=12)
+    return g.groupBy("scenario").agg(F.count(F.lit(1)).alias("windows"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("worst_gap"), F.bool_and("valid").alias("valid"))
+
+
+@query("SELECT count(*) > 0 AS measured, 0 AS broken FROM v_items", v.ITEMS)
+def gap_brackets(spark, sf):
+    """Windows on which policy, optimum and bound are out of order: there must be none."""
+    g = optimum.measure_gap(*_plans(spark, sf), n=12)
+    return g.agg((F.count(F.lit(1)) > 0).alias("measured"), F.count_if(~F.col("valid") | (F.col("gap") < 0)).cast("int").alias("broken"))
 
 
 @query()
-def comms_two_path(spark, sf):
-    i, w = _scenarios(spark, sf)
+def day_gap(spark, sf):
+    return optimum.measure_day(*_plans(spark, sf))
+
+
+def _two_paths(spark, sf):
+    i, w = _plans(spark, sf)
     later = lambda by: w.select("scenario", (F.col("rise_s") + by).alias("rise_s"), (F.col("set_s") + by).alias("set_s"), "capacity")
-    r = scheduling.simulate_comms(i, w, later(1800.0), later(7200.0), deadline_s=18000.0)
-    return r.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("energy_J").alias("energy_J"), F.expr("percentile(latency_s, 0.5)").alias("p50"), F.count_if("deadline_met").alias("met"))
+    return i, w, later(1800.0).drop("capacity"), later(7200.0)
+
+
+@query()
+def comms_two_path(spark, sf):
+    return scheduling.path_summary(replay.simulate_comms(*_two_paths(spark, sf), comms=replay.Comms(deadline_s=18000.0)))
+
+
+@query("SELECT count(*) AS n, CAST(sum(size) AS DOUBLE) AS bytes, 0 AS relayed FROM v_own WHERE cum <= capacity / CAST(64 AS DOUBLE)", _USERS)
+def comms_relay_off(spark, sf):
+    """With the relay off the event loop is the plain scheduler."""
+    r = replay.simulate_comms(*_two_paths(spark, sf), policy="nobuffer", comms=replay.Comms(relay=False))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count_if(F.col("path") == "relay").cast("int").alias("relayed"))
+
+
+@query()
+def forced_routes(spark, sf):
+    """The same day with the relay off, by policy, and with the own passes withheld."""
+    i, w, isl, relay = _two_paths(spark, sf)
+    rows = None
+    for name, args in (("direct", (w, isl, relay, replay.Comms(relay=False, deadline_s=18000.0))), ("policy", (w, isl, relay, replay.Comms(deadline_s=18000.0))), ("relay", (w.where("false"), isl, relay, replay.Comms(deadline_s=18000.0)))):
+        got = scheduling.path_summary(replay.simulate_comms(i, *args[:3], comms=args[3])).withColumn("route", F.lit(name))
+        rows = got if rows is None else rows.unionByName(got)
+    return rows
+
+
+@query("SELECT pass_id, round(capacity * 0.25 * 8 / (set_s - rise_s), 6) AS payload_bps, round(capacity * CAST(8 AS DOUBLE) / (set_s - rise_s), 6) AS physical_bps FROM v_passes", v.PASSES)
+def pass_rates(spark, sf):
+    """Rates of passes that the payload has a quarter of."""
+    p = scheduling.pass_rates(scheduling.scaled(v.passes(spark), 0.25), 0.25)
+    return p.select("pass_id", R(F.col("payload_bps")).alias("payload_bps"), R(F.col("physical_bps")).alias("physical_bps"))
 
 
 @query()
 def joint_pareto(spark, sf):
-    return scheduling.joint_pareto(_options(spark, sf).withColumn("scenario", F.concat(F.lit("s"), F.pmod("id", F.lit(16)))))
+    return joint.joint_pareto(_options(spark, sf).withColumn("scenario", F.concat(F.lit("s"), F.pmod("id", F.lit(16)).cast("string"))), least_acc=0.8, least_info=0.5)
 
 
 @query()

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 def share_code(spark: SparkSession) -> None:
-    """Let Python workers that start from now on find this package where the driver found it."""
-    home, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
-    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, env.get("PYTHONPATH")]))
+    """Ship this package to the executors, once a context; workers need no copy of it on their machines."""
+    sc = spark.sparkContext
+    if getattr(sc, "_orbweave_shared", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="orbweave-code-")) / "orbweave-code.zip"
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(home.rglob("*.py")):
+            z.write(path, path.relative_to(home.parent))
+    sc.addPyFile(str(archive))
+    sc._orbweave_shared = True
 
 
 def build_session(app: str = "orbweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,7 +40,9 @@ def build_session(app: str = "orbweave", master: str | None = None, **conf: str)
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    share_code(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
