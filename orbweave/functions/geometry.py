@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,3 +72,25 @@ def rle_box(runs: Column, height: int) -> dict[str, Column]:
     y0 = F.array_min(F.transform(runs, lambda r: F.when(wraps(r), F.lit(0)).otherwise(first(r) % height)))
     y1 = F.array_max(F.transform(runs, lambda r: F.when(wraps(r), F.lit(height - 1)).otherwise(last(r) % height)))
     return {"x": x0, "y": y0, "w": x1 - x0 + 1, "h": y1 - y0 + 1}
+
+
+def iou_corner(a, b) -> Column:
+    """Intersection over union of boxes (x, y, w, h) given by their top left corner; 0 where both are empty."""
+    side = lambda k: F.greatest(F.lit(0), F.least(a[k] + a[k + 2], b[k] + b[k + 2]) - F.greatest(a[k], b[k]))
+    inter = side(0) * side(1)
+    union = a[2] * a[3] + b[2] * b[3] - inter
+    return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
+
+
+def rle_encode(cells: DataFrame, by: str, place: str) -> DataFrame:
+    """``by, mask``: the places (1-based, column by column) of each mask as ``start length ...``; runs are places less their rank."""
+    ranked = cells.withColumn("__run", F.col(place) - F.row_number().over(Window.partitionBy(by).orderBy(place)))
+    runs = ranked.groupBy(by, "__run").agg(F.min(place).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    ordered = F.array_sort(F.collect_list(F.struct("__s", "__n")))
+    return runs.groupBy(by).agg(F.concat_ws(" ", F.transform(ordered, lambda r: F.concat_ws(" ", r["__s"].cast("string"), r["__n"].cast("string")))).alias("mask"))
+
+
+def rle_decode(masks: DataFrame, by: str, mask: str) -> DataFrame:
+    """``by, p``: every place of each mask."""
+    runs = masks.select(by, F.explode(rle_runs(F.col(mask))).alias("r"))
+    return runs.select(by, F.explode(F.sequence(F.col("r.start"), F.col("r.start") + F.col("r.len") - 1)).alias("p"))
