@@ -7,21 +7,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.operators.prefix import rank_within
 
-def ece_table(scored: DataFrame, bins: int = 15) -> DataFrame:
-    """Reliability by bins of equal count: bin ``ceil((rank + 1) * bins / n) - 1``.
 
-    Ranks come from counts of distinct scores, so the ordered window runs over distinct scores only; rows of
-    one score are ranked within it.
-    """
+def ece_table(scored: DataFrame, bins: int = 15) -> DataFrame:
+    """Reliability by bins of equal count: bin ``ceil((rank + 1) * bins / n) - 1``; rows of one score are ranked by id."""
     n = scored.agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    starts = scored.groupBy("score").agg(F.count(F.lit(1)).alias("m")).select("score", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
-    ranked = scored.join(starts, "score").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("score").orderBy("doc_id")))
+    blocks = scored.withColumns({"all": F.lit(0), "block": F.struct("score", F.floor(F.col("doc_id") / 4096).alias("b"))})
+    ranked = rank_within(blocks, ["all"], "block", [F.col("score"), F.col("doc_id")], "rank")
     binned = ranked.crossJoin(F.broadcast(n)).withColumn("bin", (F.ceil(F.col("rank") * bins / F.col("n")) - 1).cast("long"))
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("confidence"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
+def threshold_for(calibrated: DataFrame, targets: list[float]) -> DataFrame:
+    """``target, least_score, share``: the least raw score that reaches each target after calibration, and how many rows do."""
+    per = [F.struct(F.lit(t).alias("target"), F.min(F.when(F.col("calibrated") >= t, F.col("score"))).alias("least_score"), F.avg((F.col("calibrated") >= t).cast("double")).alias("share")) for t in targets]
+    return calibrated.agg(F.array(*per).alias("all")).select(F.inline("all"))
+
+
 def ece(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n")).alias("ece"))
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.plans import detection_queries, domain_queries, relational_queries, report_queries, schedule_queries
+from orbweave.plans import detection_queries, domain_queries, relational_queries, report_queries, schedule_queries, source_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (relational_queries, detection_queries, schedule_queries, report_queries, domain_queries):
+for _module in (relational_queries, detection_queries, schedule_queries, report_queries, domain_queries, source_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 

@@ -298,9 +298,12 @@ def group_split(spark, sf):
     return _split(spark, sf)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaked")
+@query("SELECT count(*) AS docs, count(DISTINCT text) AS groups, 3 AS splits, 0 AS leaked FROM documents WHERE text IS NOT NULL")
 def leak_check(spark, sf):
-    return neighbours.leaks(_split(spark, sf)).agg(F.count(F.lit(1)).alias("leaked"))
+    """Documents, groups and splits of the group-aware split, and groups that stand in more than one of them."""
+    s = _split(spark, sf)
+    whole = s.agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("group").alias("groups"), F.count_distinct("split").cast("int").alias("splits"))
+    return whole.crossJoin(neighbours.leaks(s).agg(F.count(F.lit(1)).cast("int").alias("leaked")))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS leaked_groups FROM (SELECT text FROM documents GROUP BY text HAVING count(DISTINCT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END) > 1)")
@@ -362,19 +365,57 @@ def product_rollup(spark, sf):
     return r.where("ga = 0").select("arm", "kind", "bytes", "g")
 
 
-@query("SELECT round(max(abs(calibrated - raw)), 6) >= 0 AS ok FROM (SELECT 0.0 AS calibrated, 0.0 AS raw)")
+_PLATT = "RECURSIVE " + v.CALIB + """, v_x AS (SELECT doc_id, score, ln(p / (1 - p)) AS x, CAST(correct AS DOUBLE) AS y FROM (SELECT *, least(greatest(score, 0.000001), 1 - 0.000001) AS p FROM v_calib)),
+    v_newton AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b UNION ALL SELECT k + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM
+      (SELECT k, a, b, sum((y - q) * x) AS ga, sum(y - q) AS gb, sum(q * (1 - q) * x * x) AS haa, sum(q * (1 - q) * x) AS hab, sum(q * (1 - q)) AS hbb FROM
+        (SELECT n.k, n.a, n.b, x, y, 1 / (1 + exp(-(n.a * x + n.b))) AS q FROM v_newton n, v_x WHERE n.k < 25) GROUP BY k, a, b)),
+    v_fit AS (SELECT a, b FROM v_newton WHERE k = 25), v_cal AS (SELECT doc_id, score, y, 1 / (1 + exp(-(a * x + b))) AS calibrated FROM v_x, v_fit)"""
+
+
+@query("SELECT round(a, 5) AS a, round(b, 5) AS b FROM v_fit", _PLATT)
 def platt_calibration(spark, sf):
+    """Slope and offset of the logistic calibration."""
     a, b = statistics.platt(v.calibration(spark, sf))
-    return spark.createDataFrame([(bool(a == a and b == b),)], "ok boolean")
+    return spark.createDataFrame([(round(a, 5), round(b, 5))], "a double, b double")
 
 
-@query()
+@query("SELECT doc_id, score, round(calibrated, 5) AS calibrated FROM v_cal", _PLATT)
 def platt_scores(spark, sf):
+    """Every row with its calibrated score."""
     c = v.calibration(spark, sf)
-    return statistics.apply_platt(c, *statistics.platt(c))
+    return statistics.apply_platt(c, *statistics.platt(c)).select("doc_id", "score", R(F.col("calibrated"), 5).alias("calibrated"))
 
 
-@query()
+@query("SELECT target, min(CASE WHEN calibrated >= target THEN score END) AS least_score, round(avg(CASE WHEN calibrated >= target THEN 1.0 ELSE 0.0 END), 6) AS share FROM v_cal, (SELECT CAST(unnest([0.3, 0.45, 0.5, 0.55, 0.9]) AS DOUBLE) AS target) GROUP BY target", _PLATT)
+def threshold_for_target(spark, sf):
+    """The least raw score whose calibrated score reaches a target, and the share of rows that do."""
+    c = v.calibration(spark, sf)
+    return statistics.threshold_for(statistics.apply_platt(c, *statistics.platt(c)), [0.3, 0.45, 0.5, 0.55, 0.9]).select("target", "least_score", R(F.col("share")).alias("share"))
+
+
+@query(
+    "SELECT doc_id, round(fit, 6) AS calibrated FROM v_calib JOIN (SELECT k, max(low) AS fit FROM (SELECT i.k AS k, j.k AS j, min((p.s - j.s + j.y) / (p.m - j.m + j.n)) OVER (PARTITION BY j.k ORDER BY p.k DESC ROWS UNBOUNDED PRECEDING) AS low FROM v_step j JOIN v_step p ON p.k >= j.k JOIN v_step i ON i.k = p.k) GROUP BY k) ON CAST(round(score * 10000) AS BIGINT) = k",
+    v.CALIB + ", v_step AS (SELECT k, n, y, sum(n) OVER (ORDER BY k) AS m, sum(y) OVER (ORDER BY k) AS s FROM (SELECT CAST(round(score * 10000) AS BIGINT) AS k, count(*) AS n, CAST(sum(correct) AS DOUBLE) AS y FROM v_calib GROUP BY 1))",
+)
 def isotonic_calibration(spark, sf):
+    """Isotonic calibration of every row; in SQL by the formula of the highest low mean over intervals."""
     c = v.calibration(spark, sf)
-    return statistics.apply_isotonic(c, statistics.isotonic(c))
+    return statistics.apply_isotonic(c, statistics.isotonic(c)).select("doc_id", R(F.col("calibrated")).alias("calibrated"))
+
+
+@query(
+    "SELECT a, b, method FROM (SELECT a, b, 'ncc' AS method FROM v_ev WHERE coarse >= 0.9 AND detail >= 0.4 UNION ALL SELECT a, b, 'orb' FROM (SELECT * FROM v_ev WHERE NOT (coarse >= 0.9 AND detail >= 0.4) AND coarse >= 0.75 ORDER BY coarse DESC, a, b LIMIT 3000) WHERE inliers >= 40)",
+    v.DET + ", v_ev AS (SELECT image AS a, det AS b, conf AS coarse, cx / 768 AS detail, CAST(cy AS BIGINT) % 100 AS inliers FROM v_det)",
+)
+def accepted_pairs(spark, sf):
+    """Candidate pairs that are one: by correlation, or within the budget of second opinions by matched features."""
+    d = v.detections(spark, sf).select(F.col("image").alias("a"), F.col("det").alias("b"), F.col("conf").alias("coarse"), (F.col("cx") / 768).alias("detail"), (F.col("cy").cast("long") % 100).alias("inliers"))
+    return neighbours.accept(d)
+
+
+@query("SELECT vec_id, round(sum(x * x), 4) AS length, round(abs(sum(x)), 4) AS total, round(max(x), 4) AS most FROM (SELECT vec_id, (e - m) / sqrt(sum((e - m) * (e - m)) OVER (PARTITION BY vec_id)) AS x FROM (SELECT vec_id, e, avg(e) OVER (PARTITION BY vec_id) AS m FROM (SELECT vec_id, CAST(unnest(embedding[:64]) AS DOUBLE) AS e FROM embeddings))) GROUP BY vec_id")
+def thumb_vectors(spark, sf):
+    """Grey thumbs less their mean, over their norm."""
+    t = table(spark, sf, "embeddings").select("vec_id", neighbours.thumb_vector(F.slice("embedding", 1, 64).cast("array<double>")).alias("x"))
+    add = lambda f: F.aggregate(F.transform("x", f), F.lit(0.0), lambda a, b: a + b)
+    return t.select("vec_id", R(add(lambda x: x * x), 4).alias("length"), R(F.abs(add(lambda x: x)), 4).alias("total"), R(F.array_max("x"), 4).alias("most"))

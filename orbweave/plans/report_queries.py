@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from orbweave.functions import domain
+from orbweave.operators import encoding
 from orbweave.plans import views as v
 from orbweave.plans.book import book
 from orbweave.session import table
@@ -64,10 +66,16 @@ def threshold_counts(spark, sf):
     return one.select(F.inline(rows))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER ((conf >= 0.67) <> (conf > 0.67)) AS n_disagree, count(*) FILTER (conf >= 0.25 AND conf < 0.67) AS n_middle FROM v_det", v.DET)
+@query("SELECT level, count(*) AS n, count(*) FILTER ((level = 1) <> (conf > 0.67 AND conf >= 0.25)) AS n_disagree FROM (SELECT conf, CAST(CASE WHEN conf < 0.25 THEN 0 WHEN conf >= 0.67 THEN 1 ELSE 2 END AS INTEGER) AS level FROM v_det) GROUP BY level", v.DET)
 def policy_agreement(spark, sf):
-    c = F.col("conf")
-    return v.detections(spark, sf).agg(N(), F.count_if((c >= 0.67) != (c > 0.67)).alias("n_disagree"), F.count_if((c >= 0.25) & (c < 0.67)).alias("n_middle"))
+    """Levels by the priority rule, and where the level-of-detail encoder sends another product: it wants a confidence above the cut."""
+    d = v.detections(spark, sf)
+    ship = F.array(F.struct(F.col("det").alias("id"), "conf", F.lit(10.0).alias("px"), F.lit(False).alias("dark")))
+    number = (F.col("image") * 100 + F.col("det")).alias("tile")
+    tiles = d.select(number, F.lit(0.0).alias("t"), F.lit("ships").alias("ctx"), F.lit(True).alias("gate_empty"), F.lit(0).alias("unconfirmed"), F.lit(0).alias("n_fp"), F.lit(None).cast("double").alias("coast_bytes"), ship.alias("ships"))
+    sent = encoding.encode_lod(tiles, audit=0.0).select("tile", F.col("kind").alias("product"))
+    judged = v.detections(spark, sf).select(number, domain.level(F.col("conf"), F.lit(False), F.lit(False)).alias("level")).join(sent, "tile", "left")
+    return judged.groupBy("level").agg(N(), F.count_if((F.col("level") == 1) != F.coalesce(F.col("product") == "L0", F.lit(False))).alias("n_disagree"))
 
 
 @query(

@@ -34,25 +34,69 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_zip_csv(spark: SparkSession, path: str, member: str, schema: str) -> DataFrame:
-    """A CSV member of ZIP archives, one archive to a task."""
+def zip_csv(archives: DataFrame, member: str, schema: str) -> DataFrame:
+    """A CSV member of ZIP archives (binary column ``content``), one archive at a time."""
     names = [c.split()[0] for c in schema.split(", ")]
+    text = {c.split()[0]: str for c in schema.split(", ") if c.split()[1] == "string"}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for data in b["content"]:
                 with zipfile.ZipFile(io.BytesIO(data)) as z, z.open(member) as f:
-                    for part in pd.read_csv(f, chunksize=50_000):
+                    for part in pd.read_csv(f, chunksize=50_000, dtype=text):
                         yield part[names]
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)
+    return archives.select("content").mapInPandas(rows, schema)
+
+
+def read_zip_csv(spark: SparkSession, path: str, member: str, schema: str) -> DataFrame:
+    return zip_csv(spark.read.format("binaryFile").load(path), member, schema)
+
+
+def read_zip_images(spark: SparkSession, path: str, suffix: str = ".jpg") -> DataFrame:
+    """``archive, image, content`` of the images in ZIP archives; an archive is read by one task, its members one by one."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, data in zip(b["path"], b["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for member in sorted(m for m in z.namelist() if m.lower().endswith(suffix)):
+                        yield pd.DataFrame({"archive": [name], "image": [member.rsplit("/", 1)[-1].rsplit(".", 1)[0]], "content": [z.read(member)]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(rows, "archive string, image string, content binary")
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+
+
+def paired(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Image paths beside the label paths of the same stem. Both: path."""
+    return images.select(stem(F.col("path")).alias("image"), F.col("path").alias("image_path")).join(labels.select(stem(F.col("path")).alias("image"), F.col("path").alias("label_path")), "image")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``image, value`` of label lines that carry their image before a tab: one file for many images."""
+    parts = F.split("value", "\t", 2)
+    return spark.read.text(path).select(parts[0].alias("image"), parts[1].alias("value"))
+
+
+def checked_labels(lines: DataFrame) -> DataFrame:
+    """Label lines (image, value) with their fields and, where they cannot be read, the reason in ``error``."""
+    f = F.split(F.trim("value"), r"\s+")
+    number = [F.expr(f"try_cast(f[{i}] AS DOUBLE)") for i in range(5)]
+    split = lines.withColumn("f", f)
+    unread = F.lit(False)
+    for n in number:
+        unread = unread | n.isNull()
+    return split.withColumn("error", F.when(F.size("f") < 5, "fields").when(unread, "number")).select("image", "value", *[F.when(F.size("f") >= 5, n).alias(k) for n, k in zip(number, ("cls", "x", "y", "bw", "bh"), strict=True)], "error")
 
 
 def read_images(spark: SparkSession, path: str, glob: str = "*.jpg") -> DataFrame:
     """Image files with their sniffed format."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-    return files.select(stem.alias("image"), "path", "length", sniff(F.col("content")).alias("format"), "content")
+    return files.select(stem(F.col("path")).alias("image"), "path", "length", sniff(F.col("content")).alias("format"), "content")
 
 
 def sniff(content: Column) -> Column:
@@ -65,38 +109,45 @@ def sniff(content: Column) -> Column:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    return text.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("image"), F.split(F.trim("value"), r"\s+").alias("f"))
+    """``image, value`` of label files named after their image."""
+    return spark.read.text(path).select(stem(F.col("_metadata.file_path")).alias("image"), "value")
 
 
-def read_yolo(spark: SparkSession, path: str, width: float, height: float, classes: tuple[int, ...] | None = None) -> DataFrame:
+def parse_yolo(lines: DataFrame, width: float, height: float, classes: tuple[int, ...] | None = None) -> DataFrame:
     """Relative centre-form labels to pixels; lines with fewer than five fields or with words are skipped."""
-    num = [F.expr(f"try_cast(f[{i}] AS DOUBLE)") for i in range(5)]
-    rows = _lines(spark, path).where(F.size("f") >= 5).select("image", *[n.alias(k) for n, k in zip(num, ("cls", "x", "y", "bw", "bh"), strict=True)])
-    rows = rows.where("cls IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND bw IS NOT NULL AND bh IS NOT NULL")
+    rows = checked_labels(lines).where("error IS NULL")
     rows = rows.where(F.col("cls").isin(*classes)) if classes else rows
     return rows.select("image", F.col("cls").cast("int").alias("cls"), (F.col("x") * width).alias("cx"), (F.col("y") * height).alias("cy"), (F.col("bw") * width).alias("w"), (F.col("bh") * height).alias("h"))
 
 
-def read_dota(spark: SparkSession, path: str, classes: tuple[str, ...] = ("ship",)) -> DataFrame:
+def read_yolo(spark: SparkSession, path: str, width: float, height: float, classes: tuple[int, ...] | None = None) -> DataFrame:
+    return parse_yolo(_lines(spark, path), width, height, classes)
+
+
+def parse_dota(lines: DataFrame, classes: tuple[str, ...] = ("ship",)) -> DataFrame:
     """Quadrilaterals to their upright boxes; other classes and header lines are skipped."""
+    split = lines.select("image", F.split(F.trim("value"), r"\s+").alias("f"))
     num = [F.expr(f"try_cast(f[{i}] AS DOUBLE)").alias(f"c{i}") for i in range(8)]
-    rows = _lines(spark, path).where(F.size("f") >= 9).select("image", *num, F.lower(F.get("f", F.lit(8))).alias("cls"))
+    rows = split.where(F.size("f") >= 9).select("image", *num, F.lower(F.get("f", F.lit(8))).alias("cls"))
     rows = rows.where(" AND ".join(f"c{i} IS NOT NULL" for i in range(8))).where(F.col("cls").isin(*[c.lower() for c in classes]))
     xs, ys = [F.col(f"c{i}") for i in (0, 2, 4, 6)], [F.col(f"c{i}") for i in (1, 3, 5, 7)]
     x0, x1, y0, y1 = F.least(*xs), F.greatest(*xs), F.least(*ys), F.greatest(*ys)
     return rows.select("image", "cls", ((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
 
 
+def read_dota(spark: SparkSession, path: str, classes: tuple[str, ...] = ("ship",)) -> DataFrame:
+    return parse_dota(_lines(spark, path), classes)
+
+
 COCO = "images array<struct<id:bigint,file_name:string,width:int,height:int>>, annotations array<struct<image_id:bigint,category_id:bigint,bbox:array<double>>>, categories array<struct<id:bigint,name:string>>"
 
 
-def read_coco(spark: SparkSession, path: str, names: tuple[str, ...] = ("ship",)) -> DataFrame:
-    """Images with their boxes of the named categories; images without any keep an empty list."""
-    doc = read_json(spark, path, COCO)
+def read_coco(spark: SparkSession, path: str, names: tuple[str, ...] = ("ship",), multi_line: bool = True) -> DataFrame:
+    """Images with their boxes of the named categories; images without any keep an empty list. A document a file, or a line."""
+    doc = spark.read.option("multiLine", multi_line).schema(COCO).json(path)
     images = doc.select(F.explode("images").alias("i")).select("i.*")
-    cats = doc.select(F.explode("categories").alias("c")).where(F.lower("c.name").isin(*[n.lower() for n in names])).select(F.col("c.id").alias("category_id"))
-    found = doc.select(F.explode("annotations").alias("a")).select("a.*").join(F.broadcast(cats), "category_id", "left_semi")
+    cats = doc.select(F.explode("categories").alias("c")).where(F.lower("c.name").isin(*[n.lower() for n in names])).select(F.col("c.id").alias("category_id")).distinct()
+    found = doc.select(F.explode("annotations").alias("a")).select("a.*").join(cats, "category_id", "left_semi")
     box = F.struct((F.col("bbox")[0] + F.col("bbox")[2] / 2).alias("cx"), (F.col("bbox")[1] + F.col("bbox")[3] / 2).alias("cy"), F.col("bbox")[2].alias("w"), F.col("bbox")[3].alias("h"))
     per = found.groupBy(F.col("image_id").alias("id")).agg(F.collect_list(box).alias("boxes"))
     return images.join(per, "id", "left").select("id", "file_name", "width", "height", F.coalesce("boxes", F.array().cast("array<struct<cx:double,cy:double,w:double,h:double>>")).alias("boxes"))
@@ -114,6 +165,12 @@ def write_yolo(boxes: DataFrame, path: str, width: float, height: float) -> None
     boxes.select("split", "image", line.alias("value")).write.partitionBy("split", "image").text(path)
 
 
+def write_yolo_lines(boxes: DataFrame, path: str, width: float, height: float) -> None:
+    """The same lines, many images to a file, each line after its image and a tab."""
+    line = F.format_string("0 %.6f %.6f %.6f %.6f", F.col("cx") / width, F.col("cy") / height, F.col("w") / width, F.col("h") / height)
+    boxes.select(F.concat_ws("\t", "image", line).alias("value")).write.text(path)
+
+
 def write_tagged(df: DataFrame, path: str, tag: str | None, default: bool) -> None:
     """CSV output; a run that isn't the default must carry a tag, and nothing is overwritten."""
     if not default and not tag:

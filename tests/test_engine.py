@@ -17,7 +17,7 @@ from orbweave.functions import codec, domain
 from orbweave.functions import geometry as g
 from orbweave.operators import detection, encoding, joint, neighbours, optimum, orbit, prefix, replay, scheduling, statistics
 from orbweave.operators.components import connected_components
-from orbweave.plans import registry
+from orbweave.plans import registry, views
 from orbweave.sources import readers
 
 
@@ -413,7 +413,8 @@ def test_calibration(spark):
 
 
 def test_platt_scores_equal_a_plain_fit(spark, sf):
-    got = registry.QUERIES["platt_scores"](spark, sf).collect()
+    rows = views.calibration(spark, sf)
+    got = statistics.apply_platt(rows, *statistics.platt(rows)).collect()
     p = np.clip([r.score for r in got], 1e-6, 1 - 1e-6)
     x, y, w = np.stack([np.log(p / (1 - p)), np.ones(len(p))], 1), np.array([r.correct for r in got]), np.zeros(2)
     for _ in range(50):
@@ -455,6 +456,62 @@ def test_readers(spark, tmp_path):
     assert r.image == "a" and r.conf == 0.5 and r.cx is None
 
 
+def test_archives_and_label_errors(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.jpg", b"\xff\xd8\xff")
+        z.writestr("x/two.JPG", b"abc")
+        z.writestr("t.csv", "image,cx\n007,1.5\n")
+    got = readers.read_zip_images(spark, str(tmp_path / "a.zip")).collect()
+    assert [(r.image, bytes(r.content)) for r in got] == [("one", b"\xff\xd8\xff"), ("two", b"abc")]
+    assert [tuple(r) for r in readers.read_zip_csv(spark, str(tmp_path / "a.zip"), "t.csv", "image string, cx double").collect()] == [("007", 1.5)]
+    lines = spark.createDataFrame([("a", "0 0.5 0.5 0.1 0.1"), ("b", "0 1 2"), ("c", "0 x 0.5 0.1 0.1"), ("d", "")], "image string, value string")
+    assert {r.image: r.error for r in readers.checked_labels(lines).collect()} == {"a": None, "b": "fields", "c": "number", "d": "fields"}
+
+
+def test_head_decoding():
+    from orbweave.operators import perception
+
+    out = np.array([[100.0, 101, 300, 500], [100, 100, 300, 500], [20, 20, 40, 2000], [20, 20, 40, 20], [0.9, 0.8, 0.7, 0.04]])
+    got = perception.decode_head(out, 400, 400, gain=2.0, pad=(10.0, 0.0))
+    assert [tuple(x) for x in got] == [(45.0, 50.0, 10.0, 10.0, 0.9), (145.0, 150.0, 20.0, 20.0, 0.7)]
+    assert len(perception.decode_head(out, 400, 400, most=1)) == 1 and len(perception.decode_head(out, 400, 400, conf=0.95)) == 0
+
+
+def test_detectors_must_answer_for_their_windows(spark):
+    from orbweave.operators import perception
+
+    images = spark.createDataFrame([(1, 100, 100)], "image long, width int, height int")
+    wrong = lambda b: pd.DataFrame([(1, 7, 1.0, 1.0, 1.0, 1.0, 0.9)], columns=["image", "slice", "cx", "cy", "w", "h", "conf"])
+    with pytest.raises(Exception, match="not given"):
+        perception.detect_images(images, wrong, "whole").collect()
+    with pytest.raises(ValueError):
+        perception.plan_windows(images, "other")
+
+
+def test_samples_leave_out_contexts_without_tiles(spark):
+    from orbweave.operators import sampling
+
+    pool = spark.createDataFrame([(1, "ships"), (2, "empty"), (3, "empty")], "tile long, ctx string")
+    day = sampling.sample_day(pool, 400)
+    assert day.count() == 400 and {r.ctx for r in day.select("ctx").distinct().collect()} == {"ships", "empty"} and 0.15 < day.where("ctx = 'ships'").count() / 400 < 0.35
+    with pytest.raises(ValueError):
+        sampling.sample_day(pool.where("false"), 5)
+    got = sampling.sequential_split(spark.range(1000), "id").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"val": 100, "test": 100, "train": 800}
+
+
+def test_intermediates_are_deleted_at_the_end(spark):
+    from orbweave import storage
+
+    with storage.intermediates(spark):
+        kept = storage.materialize(spark.range(5), "t")
+        path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert kept.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_streaming(spark, tmp_path):
     from orbweave.streaming import online
 
