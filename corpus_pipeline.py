@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, secret scans, packing, each stage over all that the last one kept."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, secret scans, packing, each stage over all that the last one kept.
+
+Defined cases, for every stage: an empty table gives an empty one; extra columns, whatever their names, pass through all stages but
+the last; very long texts are read whole; null ids are kept as they are. Null and empty texts are too short for the quality rules
+and go there; later stages take them too. Rows repeated with one id and text are one place for line dedup, stay or go together in
+near-dedup, and are packed once each. Ties: of equal passages the first by id, version and line stays, of near-duplicates the least id.
+"""
 
 from __future__ import annotations
 
