@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that are numbered by one task, at the least; beyond ``1 << 16`` salts in all, more.
 SALT_ROWS = 256
-PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class CapacityTree:
@@ -95,7 +95,7 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return slots
 
 
-def _pieces(batches: Iterator[pd.DataFrame], path: str, ranks: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, ranks: str, capacity: int, end_id: int, rows: int = 500) -> Iterator[pa.RecordBatch]:
     made, fast, end = textio.load(path), textio.load_ranks(ranks), np.uint32(end_id).tobytes()
     special = textio.special_tokens(made)
 
@@ -104,27 +104,30 @@ def _pieces(batches: Iterator[pd.DataFrame], path: str, ranks: str, capacity: in
             return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         return np.array(made.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+    for batch in (whole.slice(at, rows) for whole in batches for at in range(0, len(whole), rows)):
+        out: list[tuple[int, int, int, int, int]] = []
+        for row, text in enumerate(batch.column("text").to_pylist()):
             ids = encode(text or "") + end
             n, at, piece = len(ids) // 4, 0, 0
             size = n % capacity or capacity
             while at < n:
-                for k, v in zip(out, (doc_id, piece, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])), strict=True):
-                    out[k].append(v)
+                out.append((row, piece, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
                 at, piece, size = at + size, piece + 1, capacity
-        yield pd.DataFrame(out)
+        made_of = np.array(out, dtype=np.int64).reshape(-1, 5).T
+        columns = [batch.column("doc_id").take(pa.array(made_of[0])), pa.array(made_of[1].astype(np.int32)), *map(pa.array, made_of[2:])]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PIECES.split(", ")])
 
 
 def pack(docs: DataFrame, path: str, ranks: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = rows.mapInPandas(lambda b: _pieces(b, path, ranks, capacity, end_id), PIECES)
-    pieces = materialize(pieces.withColumns({"doc_id": F.col("doc_id").cast("long"), "place": F.monotonically_increasing_id()}), "pieces")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    pieces = rows.mapInArrow(lambda b: _pieces(b, path, ranks, capacity, end_id), PIECES)
+    pieces = materialize(pieces.withColumn("place", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = best_fit_decreasing(histogram, capacity)
-    tables = {n: np.array(runs, dtype=np.int64).T for n, runs in slots.items()}
+    spark = docs.sparkSession
+    runs = [(n, [(first, bins, at) for first, _, bins, at in own]) for n, own in slots.items()]
+    table = spark.createDataFrame(runs, "length long, runs array<struct<first:long,bins:long,at:long>>")  # a row a length: at most ``capacity`` of them
     spread = max(SALT_ROWS, sum(histogram.values()) >> 16)
     salts = F.array(*[F.lit(max(1, -(-histogram.get(n, 0) // spread))) for n in range(capacity + 1)])
     salted = pieces.withColumn("salt", F.pmod(F.col("place"), F.get(salts, F.col("length").cast("int")).cast("long")))
@@ -138,22 +141,10 @@ def pack(docs: DataFrame, path: str, ranks: str, id_col: str = "doc_id", text_co
         *[c.split()[0] for c in PIECES.split(", ")], (F.col("number") + F.col("before") - 1).alias("number")
     )
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            number = batch.pop("number").to_numpy()
-            length = batch["length"].to_numpy()
-            sequence, offset = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
-            order = np.argsort(length, kind="stable")
-            cuts = np.flatnonzero(np.diff(length[order])) + 1
-            for own in np.split(order, cuts) if len(order) else []:
-                first, _, bins, at = tables[int(length[own[0]])]
-                run = np.searchsorted(first, number[own], side="right") - 1
-                sequence[own] = bins[run] + number[own] - first[run]
-                offset[own] = at[run]
-            yield batch.assign(sequence_id=sequence, offset=offset)
-
-    named = numbered.withColumn("doc_id", F.col("doc_id").cast("string"))  # ids may be null, which pandas cannot hold as whole numbers
-    return named.mapInPandas(place, PIECES + ", sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    run = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("number")), -1)
+    placed = numbered.join(F.broadcast(table), "length").withColumn("run", run)
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    return placed.select(*names, (F.col("run.bins") + F.col("number") - F.col("run.first")).alias("sequence_id"), F.col("run.at").alias("offset"))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
