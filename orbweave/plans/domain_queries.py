@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import codec, domain
 from orbweave.functions import geometry as g
-from orbweave.operators import accounting, detection, perception, sampling
+from orbweave.operators import accounting, detection, imaging, neighbours, perception, sampling
 from orbweave.plans import views as v
 from orbweave.plans.book import book
 from orbweave.session import table
@@ -356,3 +356,46 @@ def route_summary(spark, sf):
     """Products of a route: whole once the shares that came add up to one."""
     per = v.items(spark, sf).groupBy("user_id", "kind").agg(F.sum(F.least(F.lit(1.0), F.col("size") / 20_000.0)).alias("f"))
     return per.groupBy("kind").agg(N(), R(F.sum("f")).alias("sent"), F.count_if(F.col("f") >= 1 - 1e-9).alias("whole"))
+
+
+_MEASURED = v.TILES + ", v_seen AS (SELECT user_id, day, n_ships, CASE WHEN gate_score >= 0.9 THEN 'cloud' WHEN n_fp % 10 / CAST(50 AS DOUBLE) >= 0.08 OR user_id % 20 / CAST(100 AS DOUBLE) >= 0.12 THEN 'land_coast' WHEN n_candidates % 3 > 0 THEN 'candidates' ELSE 'empty_sea' END AS context FROM v_tiles)"
+
+
+@query("SELECT context, CASE WHEN context = 'cloud' THEN 'cloud' WHEN context = 'land_coast' THEN 'coast' WHEN n_ships > 0 THEN 'ships' ELSE 'empty' END AS ctx, count(*) AS n FROM v_seen GROUP BY 1, 2", _MEASURED)
+def prefilter_contexts(spark, sf):
+    """Tiles by what their measures say they show, and by the context that the encoders plan with."""
+    measures = (F.col("gate_score"), F.col("user_id") % 20 / F.lit(100.0), F.col("n_fp") % 10 / F.lit(50.0), F.col("n_candidates") % 3)
+    t = v.tiles(spark, sf).withColumn("context", imaging.tile_context(*measures))
+    return t.groupBy("context", imaging.planning_context(F.col("context"), F.col("n_ships")).alias("ctx")).agg(N())
+
+
+@query("SELECT vec_id, CAST(win AS INTEGER) AS win, hash FROM v_hash", v.IMAGES)
+def image_hashes(spark, sf):
+    """Six perceptual hashes an image, one a window."""
+    s = imaging.signatures(v.images(spark, sf), "vec_id", proof=False)
+    return s.select("vec_id", F.posexplode("hashes").alias("win", "hash"))
+
+
+@query("SELECT DISTINCT h.hash AS key, a, vec_id AS b FROM v_hash h JOIN (SELECT hash, min(vec_id) AS a FROM v_hash WHERE win = 0 GROUP BY hash) USING (hash) WHERE win = 0 AND vec_id > a", v.IMAGES)
+def image_copies(spark, sf):
+    """Images whose hash of the whole is one: each beside the least of them, however many they are."""
+    s = imaging.signatures(v.images(spark, sf), "vec_id", proof=False).select("vec_id", F.get("hashes", F.lit(0)).alias("key"))
+    return neighbours.bucket_members(s, "vec_id", "key")
+
+
+@query("SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM v_band a JOIN v_band b ON a.band = b.band AND a.bits = b.bits AND a.vec_id < b.vec_id JOIN (SELECT band, bits FROM v_band GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 200) r ON r.band = a.band AND r.bits = a.bits", v.IMAGES + ", v_band AS (SELECT DISTINCT vec_id, band, (hash >> (16 * band)) & 65535 AS bits FROM v_hash, (SELECT unnest(range(4)) AS band))")
+def image_band_pairs(spark, sf):
+    """Images that share 16 bits of any window's hash, in buckets of two to 200 (the rule's bound)."""
+    s = imaging.signatures(v.images(spark, sf), "vec_id", proof=False).select("vec_id", F.explode(neighbours.band_keys(F.col("hashes"))).alias("key"))
+    return neighbours.bucket_pairs(s, "vec_id", "key", 200)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) AS BIGINT) AS same, 0 AS apart FROM embeddings WHERE list_max(embedding) > list_min(embedding)")
+def image_evidence(spark, sf):
+    """Every image beside a copy that is brighter: the proof of overlap finds the whole of each, at correlation one."""
+    scaled = v.images(spark, sf).withColumn("grey", F.transform("grey", lambda x: 128 + x * 512))
+    s = imaging.signatures(scaled, "vec_id").select("vec_id", "proof")
+    brighter = s.select((-F.col("vec_id") - 1).alias("vec_id"), F.transform("proof", lambda x: x + 20).alias("proof"))
+    found = imaging.evidence(s.select(F.col("vec_id").alias("a"), (-F.col("vec_id") - 1).alias("b")), s.unionByName(brighter), "vec_id")
+    same = (F.col("coarse") > 0.999) & (F.col("share") > 0.9)
+    return found.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(same).alias("same"), F.count_if(~same).cast("int").alias("apart"))

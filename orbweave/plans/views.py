@@ -108,3 +108,23 @@ def sweep(spark, sf: str) -> DataFrame:
 
 
 SWEEP = "v_sweep AS (SELECT o_orderpriority AS load, o_orderstatus AS policy, round(avg(CAST(o_totalprice AS DOUBLE)), 4) AS metric, count(*) AS n FROM orders GROUP BY 1, 2)"
+
+
+def images(spark, sf: str) -> DataFrame:
+    """A grey image of 64 by 64 per vector: its numbers down, and those of the vector turned by 17 places across."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    down = F.flatten(F.transform("e", lambda y: F.transform(F.concat(F.slice("e", 18, 47), F.slice("e", 1, 17)), lambda x: x * y)))
+    return e.select("vec_id", down.alias("grey"), F.lit(64).alias("height"), F.lit(64).alias("width"))
+
+
+# A hash of an image that is a product of two vectors is a product of two sums: ``v_low`` has, for the parts of a side that the
+# windows take, the low terms of the cosine transform of 32 means.
+IMAGES = """v_part AS (SELECT * FROM (VALUES (0, 0, 64), (1, 0, 38), (2, 25, 64), (3, 12, 51)) AS p(part, lo, hi)),
+v_share AS (SELECT part, lo, j, i, greatest(0, least((i + 1) * (hi - lo) / CAST(32 AS DOUBLE), j + 1) - greatest(i * (hi - lo) / CAST(32 AS DOUBLE), j)) * 32 / (hi - lo) AS s
+  FROM v_part, (SELECT unnest(range(64)) AS j), (SELECT unnest(range(32)) AS i) WHERE j < hi - lo),
+v_coef AS (SELECT part, k, lo + j AS pos, sum(s * cos(pi() * (2 * i + 1) * k / 64) * CASE WHEN k = 0 THEN sqrt(1 / CAST(32 AS DOUBLE)) ELSE sqrt(2 / CAST(32 AS DOUBLE)) END) AS c FROM v_share, (SELECT unnest(range(8)) AS k) GROUP BY 1, 2, 3),
+v_num AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings),
+v_low AS (SELECT vec_id, part, k, sum(c * e) AS down, sum(c * turned) AS across FROM (SELECT a.vec_id, a.pos, a.e, b.e AS turned FROM v_num a JOIN v_num b ON a.vec_id = b.vec_id AND b.pos = (a.pos + 17) % 64) JOIN v_coef USING (pos) GROUP BY 1, 2, 3),
+v_term AS (SELECT d.vec_id, win, d.k * 8 + x.k AS term, d.down * x.across AS low FROM (VALUES (0, 0, 0), (1, 1, 1), (2, 2, 1), (3, 1, 2), (4, 2, 2), (5, 3, 3)) AS w(win, xp, yp) JOIN v_low d ON d.part = w.yp JOIN v_low x ON x.part = w.xp AND x.vec_id = d.vec_id),
+v_hash AS (SELECT vec_id, win, CAST(sum(CASE WHEN low <= mid THEN CAST(0 AS HUGEINT) WHEN term = 0 THEN -CAST(9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << (63 - term) END) AS BIGINT) AS hash
+  FROM v_term JOIN (SELECT vec_id, win, median(low) FILTER (term > 0) AS mid FROM v_term GROUP BY 1, 2) USING (vec_id, win) GROUP BY 1, 2)"""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import codec, domain
 from orbweave.functions import geometry as g
-from orbweave.operators import detection, encoding, joint, neighbours, optimum, orbit, prefix, replay, scheduling, statistics
+from orbweave.operators import detection, encoding, imaging, joint, neighbours, optimum, orbit, prefix, replay, scheduling, statistics
 from orbweave.operators.components import connected_components
 from orbweave.plans import registry, views
 from orbweave.sources import readers
@@ -337,8 +337,7 @@ def test_split_keeps_groups_whole_and_near_the_quota(spark):
 def test_signatures(spark):
     rng = np.random.default_rng(0)
     img = rng.random((128, 128)) * 255
-    assert bin(neighbours.phash(img) ^ neighbours.phash(img + 3)).count("1") <= 4
-    assert neighbours.overlap_score(img, np.roll(img, 5, axis=1)) > 0.9 and math.isnan(neighbours.overlap_score(np.ones((8, 8)), np.ones((8, 8))))
+    assert bin((imaging.phash(img) ^ imaging.phash(img + 3)) & (1 << 64) - 1).count("1") <= 4
     keys = spark.range(1).select(neighbours.band_keys(F.array(F.lit(-1).cast("long"), F.lit(1).cast("long")))).first()[0]
     assert sorted(keys) == sorted(["0:65535", "1:65535", "2:65535", "3:65535", "0:1", "1:0", "2:0", "3:0"])
     got = spark.range(1).select(neighbours.hamming(F.array(F.lit(7).cast("long")), F.array(F.lit(1).cast("long"), F.lit(5).cast("long")))).first()[0]
@@ -347,6 +346,47 @@ def test_signatures(spark):
     assert np.allclose(unit, [-math.sqrt(0.5), math.sqrt(0.5)])
 
 
+def test_hash_is_the_plain_cosine_transform():
+    rng = np.random.default_rng(3)
+    img = rng.random((32, 32)) * 255
+    scale = lambda k: math.sqrt((1 if k == 0 else 2) / 32)
+    low = [
+        scale(k) * scale(m) * sum(img[i, j] * math.cos(math.pi * (2 * i + 1) * k / 64) * math.cos(math.pi * (2 * j + 1) * m / 64) for i in range(32) for j in range(32))
+        for k in range(8) for m in range(8)
+    ]
+    bits = "".join("1" if x > sorted(low[1:])[31] else "0" for x in low)
+    assert imaging.phash(img) & (1 << 64) - 1 == int(bits, 2)
+    assert len(imaging.window_hashes(img)) == 6 and len(imaging.window_hashes(img[:1, :1])) < 6
+    assert np.allclose(imaging.shrink(np.arange(9.0).reshape(3, 3), 2), [[(0 + 1 / 2 + 3 / 2 + 4 / 4) / 2.25, (1 / 2 + 2 + 4 / 4 + 5 / 2) / 2.25], [(3 / 2 + 4 / 4 + 6 + 7 / 2) / 2.25, (4 / 4 + 5 / 2 + 7 / 2 + 8) / 2.25]])
+
+
+def test_overlap_leaves_out_fill_and_asks_for_detail():
+    rng = np.random.default_rng(4)
+    wide = rng.random((160, 160)) * 200
+    a, b = wide[:128, :128], wide[12:140, 20:148]  # one scene, moved by 12 rows and 20 columns
+    coarse, detail, share = imaging.overlap_evidence(a, b)
+    assert coarse > 0.999 and detail > 0.95 and share == pytest.approx(116 * 108 / 128**2)
+    assert imaging.overlap_evidence(a, rng.random((128, 128)) * 200)[0] < 0.3
+    barred = lambda x: np.where(np.arange(128)[None, :] < 40, 0.0, x)
+    mask = imaging.real_pixels(barred(a))
+    assert not mask[:, :40].any() and mask[:, 45:].all()
+    assert abs(imaging.overlap_evidence(barred(a), barred(rng.random((128, 128)) * 200))[0]) < 0.3  # the bar alone is no evidence
+    nothing = imaging.overlap_evidence(np.zeros((128, 128)), a)
+    assert nothing[0] == 0 and math.isnan(nothing[1]) and nothing[2] == 0
+    haze = np.add.outer(np.arange(128.0), np.arange(128.0)) + rng.random((128, 128)) * 0.1
+    assert math.isnan(imaging.overlap_evidence(haze, haze + rng.random((128, 128)) * 0.1)[1])  # alike, but without texture
+
+
+def test_images_without_pixels(spark):
+    rows = [(1, [1.0, 2.0, 3.0, 4.0], 2, 2), (2, [], 0, 0), (3, None, 4, 4), (None, [5.0] * 4, 2, 2)]
+    made = spark.createDataFrame(rows, "id long, grey array<double>, height int, width int")
+    got = {r.id: r for r in imaging.signatures(made, "id").collect()}
+    assert [len(got[k].proof) for k in (1, 2, 3, None)] == [128 * 128, 0, 0, 128 * 128] and list(got[2].hashes) == [] and not any(got[None].thumb)
+    assert imaging.signatures(made.limit(0), "id", proof=False).columns == ["id", "hashes", "thumb"]
+    pairs = spark.createDataFrame([(1, 1), (1, 2)], "a long, b long")
+    assert [(r.a, r.b) for r in imaging.evidence(pairs, imaging.signatures(made, "id"), "id").collect()] == [(1, 1)]
+
+
 def test_large_buckets_and_every_band_keep_their_pairs(spark):
     many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("same").alias("sig"))
     assert {(r.a, r.b) for r in neighbours.bucket_members(many, "doc_id", "sig").collect()} == {(0, i) for i in range(1, 300)}
