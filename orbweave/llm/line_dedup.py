@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ LONG_LINE = 50
 BLOCK = 16
 REACH = 6
 BITMAP_BITS = 1 << 27
+#: Bytes of text that a worker is sent at a time.
+BATCH = "4m"
 _END = re.compile(r"[\n.!?](?:(?<=\n)| )")
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -101,7 +104,7 @@ def chunk_starts(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _parts(b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of about ``size`` bytes of text, so that a worker holds the lines of few texts."""
-    total = np.cumsum(b.column("text").fill_null("").cast(pa.large_binary()).to_pandas().str.len().to_numpy(dtype=np.int64))
+    total = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(b):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
@@ -132,11 +135,12 @@ def _places(batches: Iterator[pa.RecordBatch], size: int = 4 << 20, at_once: int
         take = pa.array(text)
         columns = [pa.array(digest), ids.take(take), b.column("version").take(take), pa.array(start.astype(np.int32)), pa.array(more), pa.array(~first)]
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PLACES.split(", ")])
+        pa.default_memory_pool().release_unused()
 
 
 def later_places(rows: DataFrame) -> DataFrame:
     """``id, version, start`` of every place of a chunk but the first, with the first (``oid, over, ostart``). ``rows``: id, version, text."""
-    places = materialize(rows.mapInArrow(_places, PLACES), "chunk-places", by=("aside",))
+    places = materialize(rows.mapInArrow(_places, PLACES), "chunk-places", by=("aside",), batch=BATCH)
     place, one = F.struct("id", "version", "start"), Window.partitionBy("hash")
     met = places.where("NOT aside").withColumns({"n": F.count(F.lit(1)).over(one), "some": F.max("more").over(one), "first": F.min(place).over(one)}).where("n > 1 OR some")
     met = materialize(met.select("hash", "id", "version", "start", "first"), "repeated-chunks")
@@ -285,14 +289,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources = marked(narrow, F.xxhash64("aid", "aver"), bitmap(wanted, "oid", "over"), "flag").where("flag").join(wanted, F.expr("aid <=> oid AND aver = over"))
     answers = sources.select("aid", "aver", F.explode(bodies("text", "blocks")).alias("b")).select("aid", "aver", "b.block", "b.body").dropDuplicates(["aid", "aver", "block"])
     key = lambda *names: F.struct(F.coalesce(F.col(names[0]).cast("string"), F.lit("")).alias("i"), F.col(names[1]).alias("v"), F.col(names[2]).alias("b")).alias("key")
-    answers = materialize(answers.select(key("aid", "aver", "block"), "body"), "answered-blocks")
+    answers = materialize(answers.select(key("aid", "aver", "block"), "body"), "answered-blocks", batch=BATCH)
     met = salted_join(asked.select("*", key("oid", "over", "block")), answers, ["key"])
     grouped = met.groupBy("id", "version").agg(F.collect_list(F.concat_ws(_PART, F.concat_ws(":", "oid", "over"), "shift", "block", "body")).alias(given))
     grouped = grouped.select(F.col("id").alias(own_id), F.col("version").alias(own_version), given)
 
-    @F.arrow_udf("string")
-    def left_over(text: pa.Array, blocks: pa.Array) -> pa.Array:
-        return _sliced(without_copies, pa.string(), text, blocks)
+    # runs in the caller's job, where Arrow batches may be of 64 MB; a plain function is sent a hundred rows at a time
+    left_over = F.udf(without_copies, "string", useArrow=False)
 
     split = marked(docs, F.xxhash64(id_, version), bitmap(asked, "id", "version"), flag)
     on = id_.eqNullSafe(F.col(own_id)) & (version == F.col(own_version))

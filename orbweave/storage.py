@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,10 +39,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/orbweave/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a durable cut of its lineage. ``by`` names partition columns."""
+@contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """While it is open, jobs of the session send ``size`` bytes to Python at a time, whatever the length of their rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, label: str, by: tuple[str, ...] = (), batch: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a durable cut of its lineage. ``by`` names partition columns,
+    ``batch`` the bytes of an Arrow batch where the session's are too many."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    with batches_of(spark, batch) if batch else nullcontext():
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     for kept in _open:
         kept.append(path)
     return spark.read.schema(df.schema).parquet(path)

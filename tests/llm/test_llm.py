@@ -870,3 +870,23 @@ def test_long_reply_chain_and_many_replies(spark):
     order = [0, 1, 2, 3, 40, *range(4, 40)]
     assert [got[None, t].position for t in order] == list(range(41))
     assert got[None, 40].depth == 2 and got[None, 40].reply_to == 3 and got[None, 5].depth == 1 and {r.root_turn for r in got.values()} == {0}
+
+
+def test_line_dedup_sends_few_bytes_at_a_time(spark, monkeypatch):
+    places = line_dedup._places
+
+    def bounded(batches):
+        def told():
+            for b in batches:
+                assert b.nbytes < 6 << 20
+                yield b
+
+        return places(told())
+
+    monkeypatch.setattr(line_dedup, "_places", bounded)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    text = F.repeat(F.concat(F.lit("Line "), F.col("id").cast("string"), F.lit(" has a few words.\n")), 150)
+    rows = spark.range(0, 4000, 1, 1).select("id", text.alias("text")).select("id", F.xxhash64("text").alias("version"), "text")
+    assert line_dedup.later_places(rows).select("id").distinct().count() == 4000
+    assert spark.conf.get(key, None) == before
