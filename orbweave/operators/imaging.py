@@ -1,7 +1,7 @@
 """Grey images: perceptual hashes over six windows, thumbs, proof of overlap without fill, and a tile's context from its measures.
 
 Images travel as rows: an id, the greys row by row, height and width. Each row is worked on alone, so a task holds one
-Arrow batch of images. Null or empty images have no hashes and an empty thumb; images whose length is not height times
+Arrow batch of images, as numbers and not as Python objects. Null or empty images have no hashes and an empty thumb; images whose length is not height times
 width are an error.
 """
 
@@ -9,18 +9,22 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave import storage
+
 # Windows as shares of the sides (left, top, right, bottom); the hash's sides; the bounds of the proof and of contexts.
 WINDOWS = ((0.0, 0.0, 1.0, 1.0), (0.0, 0.0, 0.6, 0.6), (0.4, 0.0, 1.0, 0.6), (0.0, 0.4, 0.6, 1.0), (0.4, 0.4, 1.0, 1.0), (0.2, 0.2, 0.8, 0.8))
 HASH_SIDE, SMALL_SIDE, THUMB_SIDE, PROOF_SIDE = 8, 32, 8, 128
 MIN_OVERLAP, DETAIL_SIGMA, DETAIL_STD, FLAT, MARGIN = 0.25, 3.0, 1.0, 5, 7
 CLOUD_FRAC, LAND_BLOB_FRAC, LAND_EDGES = 0.9, 0.08, 0.12
+# Rows that a worker takes and returns at a time, and the bytes of pairs of images that it is sent.
+ROWS, PAIR_BYTES = 64, "4m"
 
 
 @functools.lru_cache(maxsize=256)
@@ -70,6 +74,27 @@ def _pixels(flat, h: int, w: int) -> np.ndarray | None:
     return np.asarray(flat, dtype=np.float64).reshape(h, w)
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray | None]:
+    """The numbers of each row as a view of the column; None where the row is null."""
+    at, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False)
+    return [flat[i:j] if ok else None for i, j, ok in zip(at - at[0], at[1:] - at[0], there, strict=False)]
+
+
+def _column(rows: list, kind: type) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.asarray(r, dtype=kind) for r in rows])))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(start, ROWS) for start in range(0, b.num_rows, ROWS))
+
+
+def _proof(img: np.ndarray) -> np.ndarray:
+    return shrink(img, PROOF_SIDE).astype(np.float32)
+
+
 def signatures(images: DataFrame, id_col: str, grey: str = "grey", height: str = "height", width: str = "width", proof: bool = True) -> DataFrame:
     """Per image: ``<id>, hashes, thumb`` - six hashes and the unit thumb - and, if asked for, ``proof``: its greys at 128 by 128."""
     kind = images.schema[id_col].dataType.simpleString()
@@ -77,16 +102,16 @@ def signatures(images: DataFrame, id_col: str, grey: str = "grey", height: str =
     def sign(img: np.ndarray | None) -> tuple:
         if img is None:
             return [], [], []
-        return window_hashes(img), unit_thumb(img), shrink(img, PROOF_SIDE).ravel().astype(np.float32) if proof else []
+        return window_hashes(img), unit_thumb(img), _proof(img).ravel() if proof else []
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [sign(_pixels(*x)) for x in zip(b["grey"], b["h"], b["w"], strict=True)]
-            out = pd.DataFrame(rows, columns=["hashes", "thumb", "proof"], index=b.index).assign(**{id_col: b["id"]})
-            yield out if proof else out.drop(columns="proof")
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            rows = [sign(_pixels(*x)) for x in zip(_lists(b.column("grey")), b.column("h").to_pylist(), b.column("w").to_pylist(), strict=True)]
+            made = {"hashes": np.int64, "thumb": np.float64} | ({"proof": np.float32} if proof else {})
+            yield pa.RecordBatch.from_pydict({id_col: b.column("id")} | {name: _column([r[k] for r in rows], made[name]) for k, name in enumerate(made)})
 
     named = images.select(F.col(id_col).alias("id"), F.col(grey).alias("grey"), F.col(height).alias("h"), F.col(width).alias("w"))
-    return named.mapInPandas(signed, f"`{id_col}` {kind}, hashes array<long>, thumb array<double>" + (", proof array<float>" if proof else ""))
+    return named.mapInArrow(signed, f"`{id_col}` {kind}, hashes array<long>, thumb array<double>" + (", proof array<float>" if proof else ""))
 
 
 def _spread(grid: np.ndarray, side: int, pick: np.ufunc, outside) -> np.ndarray:
@@ -160,21 +185,37 @@ def overlap_evidence(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]
     return coarse, detail, share
 
 
-def evidence(pairs: DataFrame, signed: DataFrame, id_col: str, proof: str = "proof") -> DataFrame:
-    """``a, b, coarse, detail, share`` of candidate pairs; pairs with an image that has no greys have no row."""
-    own = lambda k: signed.where(F.size(proof) > 0).select(F.col(id_col).alias(k), F.col(proof).alias("g" + k))
-    kind = signed.schema[id_col].dataType.simpleString()
-
-    def prove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for a, b, ga, gb in zip(batch["a"], batch["b"], batch["ga"], batch["gb"], strict=True):
-                side = math.isqrt(len(ga))
-                rows.append((a, b, *overlap_evidence(_pixels(ga, side, side), _pixels(gb, side, side))))
-            yield pd.DataFrame(rows, columns=["a", "b", "coarse", "detail", "share"])
+def _proven(pairs: DataFrame, rows: DataFrame, id_col: str, grey: Callable[[Column], Column], sides: Callable[[Column], tuple[Column, Column]], proof: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of each pair meet as they are; what is made of them goes to Python a few at a time, and the answers to the shared folder."""
+    own = lambda k: rows.select(F.col(id_col).alias(k), F.struct(*rows.columns).alias("of_" + k))
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            greys = [[_pixels(*x) for x in zip(_lists(batch.column("g" + k)), batch.column("h" + k).to_pylist(), batch.column("w" + k).to_pylist(), strict=True)] for k in "ab"]
+            there = [k for k, (x, y) in enumerate(zip(*greys, strict=True)) if x is not None and y is not None]
+            found = [overlap_evidence(*(proof(g[k]).astype(np.float64) for g in greys)) for k in there]
+            ids = batch.select(["a", "b"]).take(pa.array(there, pa.int32())).columns
+            yield pa.RecordBatch.from_arrays(ids + [pa.array([f[k] for f in found], pa.float64()) for k in range(3)], names=["a", "b", "coarse", "detail", "share"])
 
     both = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
-    return both.select("a", "b", "ga", "gb").mapInPandas(prove, f"a {kind}, b {kind}, coarse double, detail double, share double")
+    made = [c for k in "ab" for of in [F.col("of_" + k)] for c in (grey(of).alias("g" + k), *(s.alias(n + k) for s, n in zip(sides(of), "hw", strict=True)))]
+    out = both.select("a", "b", *made).mapInArrow(prove, f"a {kind}, b {kind}, coarse double, detail double, share double")
+    return storage.materialize(out, "evidence", batch=PAIR_BYTES)
+
+
+def evidence(pairs: DataFrame, signed: DataFrame, id_col: str, proof: str = "proof") -> DataFrame:
+    """``a, b, coarse, detail, share`` of candidate pairs; pairs with an image that has no greys have no row.
+
+    The proofs, 64 KB each, travel to their pairs. Where images are stored in less, see ``image_evidence``.
+    """
+    side = lambda of: F.sqrt(F.size(of[proof])).cast("int")
+    return _proven(pairs, signed.where(F.size(proof) > 0), id_col, lambda of: of[proof], lambda of: (side(of), side(of)), lambda img: img)
+
+
+def image_evidence(pairs: DataFrame, images: DataFrame, id_col: str, grey: Callable[[Column], Column], height: int, width: int) -> DataFrame:
+    """``evidence`` of images as they are stored: their rows travel to the pairs, and ``grey`` makes the greys of a row there."""
+    return _proven(pairs, images, id_col, grey, lambda _: (F.lit(height), F.lit(width)), _proof)
 
 
 def tile_context(cloud_frac: Column, edge_density: Column, big_blob_frac: Column, n_boxes: Column) -> Column:

@@ -407,6 +407,23 @@ def test_images_without_pixels(spark):
     assert [(r.a, r.b) for r in imaging.evidence(pairs, imaging.signatures(made, "id"), "id").collect()] == [(1, 1)]
 
 
+def test_evidence_takes_images_as_they_are_stored(spark, monkeypatch):
+    """Neither greys nor proofs go through an exchange, and what Python is sent at a time is bounded."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.random(64).tolist()) for k in range(70)] + [(70, None), (71, [])]
+    stored = spark.createDataFrame(rows, "id long, v array<double>")
+    across = lambda v: F.flatten(F.transform(v, lambda y: F.transform(v, lambda x: 100 + x * y * 99)))
+    pairs = stored.select(F.col("id").alias("a"), F.when(F.col("id") < 69, F.col("id") + 1).otherwise(F.col("id")).alias("b"))
+    made = stored.select("id", across(F.col("v")).alias("grey"), F.lit(64).alias("height"), F.lit(64).alias("width"))
+    by_proof = {(r.a, r.b): r for r in imaging.evidence(pairs, imaging.signatures(made, "id"), "id").collect()}
+    sent, known = [], imaging.storage.materialize
+    monkeypatch.setattr(imaging.storage, "materialize", lambda df, *a, **k: sent.append((df, k)) or known(df, *a, **k))
+    got = {(r.a, r.b): r for r in imaging.image_evidence(pairs, stored, "id", lambda of: across(of["v"]), 64, 64).collect()}
+    assert len(got) == 70 and got[69, 69].coarse > 0.999 and sorted(map(str, got.values())) == sorted(map(str, by_proof.values()))
+    plan = sent[0][0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sent[0][1]["batch"] == "4m" and "flatten" not in plan[plan.index("Join") :]
+
+
 def test_large_buckets_and_every_band_keep_their_pairs(spark):
     many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("same").alias("sig"))
     assert {(r.a, r.b) for r in neighbours.bucket_members(many, "doc_id", "sig").collect()} == {(0, i) for i in range(1, 300)}
